@@ -46,8 +46,8 @@ _OP2 = r"""
 with base as (
   select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (
-  select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from base),
+  select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from base),
 win as (
   select rid, i, array_to_string(ws[i:i + 4], ' ') as k from (select rid, ws, unnest(range(1, len(ws) - 3)) as i from w)),
 again as (
