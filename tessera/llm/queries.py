@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, decontamination, mixing, quality, sharding, simhash, substring
+from . import classifier, decontamination, htmltext, licenses, lines, mixing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.classes(_table(spark, sf_dir, "documents"))
+    return found.select(F.md5("line").alias("line_md5"), "n", "first_doc_id", F.md5("kept_line").alias("kept_md5"), "kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +49,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_quality_classifier, op7_sharding, op8_mixing, op9_substring_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_quality_rules, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_quality_classifier,
+        op6_license_scans, op7_sharding, op8_mixing, op9_substring_dedup, op10_html_extraction,
+    )
+}
 
 _MEASURES = quality.MEASURES
 _OP2 = r"""
@@ -124,7 +144,23 @@ select doc_id, size, source_size, target,
 from cut
 """
 
+_OP6 = rf"""
+with plain as (
+  select doc_id as id, null as license, coalesce(text, '') as t from documents
+  union all select null, name, body from (values {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.LICENSES.items())}) v(name, body)),
+spaced as (
+  select id, license, ' ' || regexp_replace(regexp_replace(lower(t), '{licenses._COPYRIGHT}', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' as t from plain),
+spelled as (
+  select id, license, {"replace(" * len(licenses.SPELLINGS)}t{"".join(f", ' {a} ', ' {b} ')" for a, b in licenses.SPELLINGS.items())} as t from spaced),
+digests as (
+  select id, license, sha256(trim(regexp_replace(t, ' +', ' ', 'g'))) as digest from spelled),
+known as (
+  select digest, min(license) as license from digests where license is not null group by digest)
+select d.id as doc_id, d.digest, k.license from digests d left join known k using (digest) where d.license is null
+"""
+
 ORACLE = {
+    "op6_license_scans": _OP6,
     "op2_quality_rules": _OP2.replace("BITS", str(quality.BITS))
     .replace("FENCES", "\n".join(_fence_sql(n, k) for n, k in (("f2", "lang, source"), ("f1", "lang"), ("f0", ""))))
     .replace("MAXES", ",\n    ".join(f"max(case when o.measure = '{m}' then case when o.docs >= {quality.LEAST} then o.fence when l.docs >= {quality.LEAST} then l.fence else e.fence end end) as max_{m}" for m in _MEASURES)),

@@ -58,14 +58,14 @@ class Slice:
         self.bounds = np.searchsorted(self.starts, offsets)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
-    def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
-        """64 bits for each word, after the byte mapping fold."""
-        n = len(self.data)
+    def hashes(self, fold: np.ndarray | None = None, first: int | None = None) -> np.ndarray:
+        """64 bits for each word, or for its first bytes, after the byte mapping fold."""
+        n, ends = len(self.data), self.ends if first is None else np.minimum(self.ends, self.starts + first)
         values = _BYTE if fold is None else _BYTE[fold]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[self.data] * _power(_B, n), out=total[1:])
         at = _power(_B_INV, n + 1)[self.starts]
-        return mix((total[self.ends] - total[self.starts]) * at + (self.ends - self.starts).astype(np.uint64))
+        return mix((total[ends] - total[self.starts]) * at + (ends - self.starts).astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The first words of all windows of k words inside one text, and 64 bits for each window."""
