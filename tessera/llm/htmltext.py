@@ -218,6 +218,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
     parsed = materialize(rows.mapInArrow(_parse, _PARSED), "parsed")
-    named = templates(parsed)
+    named = materialize(templates(parsed), "templates")
     joined = parsed.join(named, "host", "left").select("page_id", "url", "keys", "places", "at", "texts", "furniture", "content", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
