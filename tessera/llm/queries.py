@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import classifier, decontamination, htmltext, licenses, lines, mixing, quality, sharding, simhash, substring
 
@@ -13,8 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.classes(_table(spark, sf_dir, "documents"))
-    return found.select(F.md5("line").alias("line_md5"), "n", "first_doc_id", F.md5("kept_line").alias("kept_md5"), "kept")
+    return lines.classes(_table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,8 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Asks the JVM to collect, upon which Spark's cleaner deletes the shuffle files of steps that are over."""
+    spark._jvm.System.gc()
