@@ -70,6 +70,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFra
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     w = Window.orderBy("_part")
     counts = counts.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    counts = materialize(counts, "counts")  # a row a partition: by its size Spark knows not to shuffle the rows again
     ranked = ranged.withColumn("_part", part).join(counts, "_part").withColumn("_rank", F.col("_before") + within)
     ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _all as int)"))
     slot = F.expr(f"_rank - (shard * _all + {shards - 1}) div {shards}").cast("long")
