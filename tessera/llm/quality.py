@@ -124,7 +124,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, carry: bool) -> DataFrame:
     """Measures with thresholds and kept; the counting runs once, as its result is written before it is read twice."""
     measured = materialize(measures(base_counts(docs, carry)), "counts")
-    limit = thresholds(sketches(measured)).withColumnsRenamed({"lang": "_l", "source": "_s"})
+    limit = materialize(thresholds(sketches(measured)).withColumnsRenamed({"lang": "_l", "source": "_s"}), "limits")
     joined = measured.join(limit, measured["lang"].eqNullSafe(limit["_l"]) & measured["source"].eqNullSafe(limit["_s"]), "left")
     beyond = F.lit(False)
     for m in MEASURES:
