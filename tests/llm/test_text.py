@@ -46,7 +46,7 @@ def line_rows():
 
 def test_line_classes_find_the_links_of_brute_force(spark, line_rows):
     rows = lines.classes(spark.createDataFrame(line_rows, EXTRA)).collect()
-    every = sorted({x.strip(" \t\r") for _, t, *_ in line_rows for x in (t or "").split("\n")} - {""})
+    every = sorted({x.strip(" ") for _, t, *_ in line_rows for x in (t or "").split("\n")} - {""})
     name = {hashlib.md5(x.encode()).hexdigest(): x for x in every}
     got = [{"line": name[r["line_md5"]], "kept_line": name[r["kept_md5"]], "kept": r["kept"]} for r in rows]
     assert sorted(r["line"] for r in got) == every
