@@ -1,4 +1,314 @@
-"""All queries of the engine and their DuckDB SQL."""
+"""The engine's queries by operator family, with the DuckDB SQL that each must agree with.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+SAME holds text that both engines run (whole-number division is written div, and timestamps timestamp_ntz); BUILT holds
+queries made with the plan builder or DataFrame calls, each with its own SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import presto
+from tessera.operators.builder import Plan
+from tessera.operators.windows import groups_frame
+from tessera.session import load_tables, table
+from tessera.sources.statistics import column_stats
+
+_V = "(values (1, 'a'), (2, 'b'), (2, 'b'), (cast(null as int), 'c'), (3, null), (cast(null as int), null)) v(k, s)"
+_W = "(values (2, 'b'), (3, null), (4, 'd'), (cast(null as int), null)) w(k, s)"
+_REV = "round(sum(l_extendedprice * (1 - l_discount)), 2)"
+
+SAME = {
+    # scans, values, projections
+    "scan_select_columns": "select n_nationkey, n_name from nation",
+    "scan_select_all": "select * from region",
+    "scan_product_filtered": "select n_name, r_name from nation, region where n_regionkey = r_regionkey and r_name <> 'ASIA'",
+    "values_inline": f"select k, s from {_V}",
+    "select_no_from": "select cast(1 as bigint) as one, cast(0.5 as double) as half, 'x' as x",
+    "project_arith": "select o_orderkey, o_orderkey % 7 as m, o_orderkey div 7 as d, round(o_totalprice * 2 - 1, 4) as t, -o_custkey as neg from orders",
+    "project_case_if": "select p_partkey, case when p_size > 30 then 'big' when p_size > 10 then 'mid' else 'small' end as c, case p_brand when 'Brand#1' then 1 else 0 end as b1 from part",
+    "project_cast_try_cast": "select p_partkey, cast(p_size as bigint) as s, try_cast(p_name as bigint) as n, cast(p_partkey as varchar(20)) as t from part",
+    "project_coalesce_nullif": f"select coalesce(k, -1) as k, coalesce(s, '?') as s, nullif(k, 2) as n from {_V}",
+    "select_distinct": "select distinct c_nationkey, c_mktsegment from customer",
+    "subquery_from_derived": "select n, count(*) as customers from (select c_nationkey as n from customer where c_acctbal > 0) t group by n",
+    "column_aliases": "select t.a, t.b from (select r_regionkey, r_name from region) as t(a, b)",
+    # predicates
+    "filter_conjuncts": "select l_orderkey, l_linenumber from lineitem where l_quantity < 10 and l_discount >= 0.05 and l_returnflag = 'A'",
+    "filter_or_common": "select l_orderkey, l_linenumber from lineitem where (l_returnflag = 'R' and l_quantity > 45) or (l_returnflag = 'R' and l_tax > 0.07)",
+    "filter_in_list": "select p_partkey from part where p_size in (1, 5, 9) and p_brand not in ('Brand#1', 'Brand#2')",
+    "filter_between": "select o_orderkey from orders where o_totalprice between 1000 and 50000 and o_custkey not between 10 and 1000",
+    "filter_like_escape": "select p_partkey, p_name from part where p_name like '%ring' or p_name like 's_a%' or p_name like '%!%%' escape '!'",
+    "filter_is_null": f"select s from {_V} where k is null and s is not null",
+    "filter_is_distinct": f"select k, s from {_V} where k is distinct from 2",
+    "filter_three_valued": f"select k, k > 1 as gt, not (k > 1) as le, k > 1 or s = 'c' as o, k > 1 and s = 'b' as a from {_V}",
+    # joins
+    "join_inner": "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where o_totalprice > 100000",
+    "join_left": "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 300000",
+    "join_right": "select o_orderkey, c_custkey from orders right join customer on o_custkey = c_custkey and o_orderstatus = 'P'",
+    "join_full": f"select v.k as vk, w.k as wk, v.s as vs, w.s as ws from {_V} full join {_W} on v.k = w.k",
+    "join_cross": "select r_name, s.n from region cross join (select count(*) as n from supplier) s",
+    "join_theta": "select a.n_nationkey as x, b.n_nationkey as y from nation a join nation b on a.n_nationkey < b.n_nationkey and a.n_regionkey = b.n_regionkey",
+    "join_non_equi": "select a.r_regionkey as x, b.r_regionkey as y from region a join region b on a.r_regionkey > b.r_regionkey",
+    "join_expr_key": "select n_name, r_name from nation join region on n_regionkey + 1 = r_regionkey + 1",
+    "join_multi_key": "select count(*) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber",
+    "join_self_alias": "select n1.n_name as a, n2.n_name as b from nation n1, nation n2 where n1.n_regionkey = n2.n_regionkey and n1.n_nationkey = n2.n_nationkey + 5",
+    "join_using": "select k, a.s as x, b.s as y from (select k, s from " + _V + ") a join (select k, s from " + _W + ") b using (k)",
+    "join_natural": "select r_regionkey, n from region natural join (select n_regionkey as r_regionkey, count(*) as n from nation group by n_regionkey) t",
+    "join_three_way_chain": "select r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",
+    "join_of_unions": "select t.k, n_name from (select 1 as k union all select 2 union all select 7) t join nation on t.k = n_nationkey",
+    "join_semi_in": "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 250000)",
+    "join_semi_exists": "select o_orderkey from orders o where exists (select 1 from lineitem where l_orderkey = o.o_orderkey and l_returnflag = 'R')",
+    "join_anti_exists": "select o_orderkey from orders o where not exists (select 1 from lineitem where l_orderkey = o.o_orderkey and l_returnflag = 'R')",
+    "join_anti_not_in": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)",
+    "join_anti_not_in_nulls": f"select count(*) as n from customer where c_custkey not in (select k from {_V})",
+    "exists_as_value": "select r_regionkey, exists (select 1 from nation where n_regionkey = r_regionkey and n_nationkey > 22) as has from region",
+    # aggregation
+    "agg_global": "select count(*) as n, round(sum(l_quantity), 2) as q, round(avg(l_discount), 6) as d, min(l_shipdate) as lo, max(l_shipdate) as hi from lineitem",
+    "agg_group": f"select l_returnflag, l_linestatus, count(*) as n, {_REV} as revenue from lineitem group by l_returnflag, l_linestatus",
+    "agg_expr_key": "select o_orderkey % 10 as k, cast(sum(o_custkey) as bigint) as s from orders group by o_orderkey % 10",
+    "agg_ordinal": "select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2",
+    "agg_having": "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 15 and sum(o_totalprice) > 100000",
+    "agg_having_no_group": "select count(*) as n from orders having count(*) > 1",
+    "agg_filter_mask": "select l_returnflag, count(*) filter (where l_quantity > 25) as big, round(sum(l_tax) filter (where l_linestatus = 'O'), 4) as t from lineitem group by l_returnflag",
+    "agg_distinct": "select l_returnflag, count(distinct l_suppkey) as s, cast(sum(distinct l_linenumber) as bigint) as l, count(distinct l_partkey) as p from lineitem group by l_returnflag",
+    "agg_nested": "select n, count(*) as customers from (select o_custkey, count(*) as n from orders group by o_custkey) t group by n",
+    "agg_scalar_over_agg": "select l_linestatus, round(sum(l_tax) / sum(l_discount), 6) as r, 100 * count(*) as h from lineitem group by l_linestatus",
+    "agg_empty_input": "select count(*) as n, sum(o_totalprice) as s, max(o_orderkey) as m from orders where o_orderkey < 0",
+    "agg_grouping_sets": "select l_returnflag, l_linestatus, cast(grouping(l_returnflag) as bigint) as g, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())",
+    "agg_cube": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)",
+    "agg_rollup": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)",
+    "agg_bool_bit": "select bool_and(k > 0) as a, bool_or(k > 2) as o, cast(bit_and(k) as bigint) as ba, cast(bit_or(k) as bigint) as bo, cast(bit_xor(k) as bigint) as bx from " + _V,
+    "agg_min_by": "select p_brand, min_by(p_partkey, p_partkey + p_size * 100000) as lo, max_by(p_partkey, p_partkey + p_size * 100000) as hi from part group by p_brand",
+    "agg_moments": "select round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_discount), 8) as v, round(corr(l_quantity, l_extendedprice), 6) as c, round(covar_pop(l_quantity, l_tax), 6) as cp, round(regr_slope(l_extendedprice, l_quantity), 4) as rs from lineitem",
+    # sets
+    "set_union_all": "select n_regionkey as k from nation union all select r_regionkey from region",
+    "set_union": "select n_regionkey as k from nation union select r_regionkey + 2 from region",
+    "set_intersect": "select c_nationkey as k from customer intersect select s_nationkey from supplier",
+    "set_except": "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 5000",
+    "set_intersect_all": f"select k, s from {_V} intersect all select k, s from {_W}",
+    "set_except_all": f"select k, s from {_V} except all select k, s from {_W}",
+    "set_null_rows": f"select k, s from {_V} intersect select k, s from {_W}",
+    "set_nary": "select n_nationkey as k from nation where n_nationkey < 21 intersect select n_nationkey from nation where n_nationkey > 11 intersect select n_nationkey from nation where n_nationkey > 12",
+    "union_pushdown": "select k from (select n_nationkey as k from nation where n_nationkey < 11 union all select n_nationkey from nation where n_nationkey > 13) t where (k + 1) % 3 = 1",
+    # CTEs and subqueries
+    "cte_basic": "with big as (select * from orders where o_totalprice > 200000) select o_orderstatus, count(*) as n from big group by o_orderstatus",
+    "cte_recursive": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 20) select n from t",
+    "subquery_scalar_uncorrelated": "select p_partkey from part where p_retailprice > (select avg(p_retailprice) * 1.2 from part)",
+    "subquery_scalar_correlated": "select o_orderkey from orders o where o_totalprice > (select 1.5 * avg(o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
+    "subquery_in_select": "select r_name, (select count(*) from nation where n_regionkey = r_regionkey) as n from region",
+    "quantified_all": "select n_nationkey from nation where n_nationkey >= (select max(s_nationkey) from supplier)",
+    # sorts and limits with a total order
+    "sort_nulls_last": f"select k, s from {_V} order by k desc nulls last, s nulls last limit 4",
+    "sort_topn": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25",
+    "sort_offset": "select o_orderkey from orders order by o_orderkey limit 10 offset 95",
+    # windows
+    "win_row_number": "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders",
+    "win_rank_dense": "select p_partkey, rank() over (partition by p_brand order by p_size) as r, dense_rank() over (partition by p_brand order by p_size) as d from part",
+    "win_ntile": "select c_custkey, ntile(7) over (partition by c_nationkey order by c_custkey) as t from customer",
+    "win_lag_lead": "select o_orderkey, lag(o_orderkey, 2) over w as a, lead(o_orderkey, 1, -1) over w as b from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
+    "win_first_last": "select o_orderkey, first_value(o_orderkey) over w as f, last_value(o_orderkey) over w as l, nth_value(o_orderkey, 2) over w as n from orders window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and unbounded following)",
+    "win_running_sum_rows": "select o_orderkey, cast(sum(o_custkey) over (partition by o_orderpriority order by o_orderkey rows between 3 preceding and 1 following) as bigint) as s from orders",
+    "win_range_frame": "select p_partkey, count(*) over (partition by p_brand order by p_size range between 2 preceding and 2 following) as n from part",
+    "win_ignore_nulls": f"select k, s, last_value(k) ignore nulls over (order by coalesce(s, 'zz'), k nulls last rows between unbounded preceding and current row) as l from {_V}",
+    "win_percent_cume": "select c_custkey, round(percent_rank() over w, 8) as p, round(cume_dist() over w, 8) as c from customer window w as (partition by c_mktsegment order by c_acctbal, c_custkey)",
+    "win_over_aggregate": "select o_custkey, count(*) as n, rank() over (order by count(*) desc, o_custkey) as r from orders group by o_custkey",
+    # functions
+    "fn_string": "select p_partkey, upper(p_name) as u, length(p_name) as n, substr(p_name, 2, 3) as s, replace(p_name, 'a', '_') as r, reverse(p_name) as v, lpad(p_brand, 10, '*') as l, rpad(p_type, 9, '.') as rp, trim('  x ') as t, split_part(p_name, ' ', 2) as sp, concat(p_brand, '/', p_type) as c, p_brand || p_type as cc, levenshtein(p_name, p_type) as lev from part",
+    "fn_math": "select p_partkey, abs(-p_size) as a, round(sqrt(p_size), 8) as q, round(power(p_size, 2), 4) as w, round(ln(p_size + 1), 8) as l, round(exp(p_size / 100.0e0), 8) as e, greatest(p_size, 10) as g, least(p_size, 10) as m, cast(sign(p_size - 10) as int) as s, round(degrees(radians(45.0e0)), 6) as d from part",
+    "fn_date_parts": "select o_orderkey, year(o_orderdate) as y, quarter(o_orderdate) as q, month(o_orderdate) as m, day(o_orderdate) as d, hour(o_orderdate) as h, dayofyear(o_orderdate) as doy, weekofyear(o_orderdate) as w from orders",
+    "fn_hash": "select p_partkey, md5(p_name) as m from part",
+    # TPC-H shapes
+    "tpch_q1": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, " + _REV + " as sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp_ntz '1998-09-02' group by l_returnflag, l_linestatus",
+    "tpch_q3": f"select l_orderkey, {_REV} as revenue, o_orderdate from customer, orders, lineitem where c_mktsegment = 'BUILDING' and c_custkey = o_custkey and l_orderkey = o_orderkey and o_orderdate < timestamp_ntz '1998-03-15' and l_shipdate > timestamp_ntz '1998-03-15' group by l_orderkey, o_orderdate order by revenue desc, l_orderkey limit 10",
+    "tpch_q4": "select o_orderpriority, count(*) as n from orders where o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '1997-01-01' and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') group by o_orderpriority",
+    "tpch_q5": f"select n_name, {_REV} as revenue from customer, orders, lineitem, supplier, nation, region where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' group by n_name",
+    "tpch_q6": "select round(sum(l_extendedprice * l_discount), 4) as revenue from lineitem where l_shipdate >= timestamp_ntz '1996-01-01' and l_shipdate < timestamp_ntz '1997-01-01' and l_discount between 0.05e0 and 0.07e0 and l_quantity < 24",
+    "tpch_q7": f"select n1.n_name as supp, n2.n_name as cust, year(l_shipdate) as y, {_REV} as revenue from supplier, lineitem, orders, customer, nation n1, nation n2 where s_suppkey = l_suppkey and o_orderkey = l_orderkey and c_custkey = o_custkey and s_nationkey = n1.n_nationkey and c_nationkey = n2.n_nationkey and ((n1.n_name = 'NATION_1' and n2.n_name = 'NATION_2') or (n1.n_name = 'NATION_2' and n2.n_name = 'NATION_1')) group by 1, 2, 3",
+    "tpch_q8": "select year(o_orderdate) as y, round(sum(case when n2.n_name = 'NATION_2' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as share from part, supplier, lineitem, orders, customer, nation n1, nation n2, region where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and r_name = 'AMERICA' and s_nationkey = n2.n_nationkey and p_type = 'ECONOMY' group by 1",
+    "tpch_q9": "select n_name, year(o_orderdate) as y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity / 10), 1) as profit from part, supplier, lineitem, orders, nation where s_suppkey = l_suppkey and p_partkey = l_partkey and o_orderkey = l_orderkey and s_nationkey = n_nationkey and p_name like '%ring%' group by 1, 2",
+    "tpch_q10": f"select c_custkey, c_name, {_REV} as revenue, n_name from customer, orders, lineitem, nation where c_custkey = o_custkey and l_orderkey = o_orderkey and o_orderdate >= timestamp_ntz '1997-01-01' and o_orderdate < timestamp_ntz '1997-04-01' and l_returnflag = 'R' and c_nationkey = n_nationkey group by c_custkey, c_name, n_name order by revenue desc, c_custkey limit 20",
+    "tpch_q12": "select l_returnflag, sum(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end) as high, count(*) as n from orders, lineitem where o_orderkey = l_orderkey and l_shipdate >= timestamp_ntz '1997-01-01' group by l_returnflag",
+    "tpch_q13": "select n, count(*) as customers from (select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey and o_orderstatus <> 'P' group by c_custkey) t group by n",
+    "tpch_q14": "select round(100 * sum(case when p_type = 'PROMO' then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 6) as promo from lineitem, part where l_partkey = p_partkey and l_shipdate >= timestamp_ntz '1997-09-01' and l_shipdate < timestamp_ntz '1997-12-01'",
+    "tpch_q17": "select round(sum(l_extendedprice) / 7, 2) as y from lineitem, part where p_partkey = l_partkey and p_brand = 'Brand#3' and l_quantity < (select 0.5e0 * avg(l_quantity) from lineitem where l_partkey = p_partkey)",
+    "tpch_q18": "select c_custkey, o_orderkey, round(sum(l_quantity), 2) as q from customer, orders, lineitem where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 200) and c_custkey = o_custkey and o_orderkey = l_orderkey group by c_custkey, o_orderkey",
+    "tpch_q19": f"select {_REV} as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#1' and l_quantity between 1 and 11 and p_size between 1 and 15) or (p_partkey = l_partkey and p_brand = 'Brand#2' and l_quantity between 10 and 20 and p_size between 1 and 30)",
+    "tpch_q22": "select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as b from customer where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 150000) group by c_nationkey",
+}
+
+
+def _same(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        load_tables(spark, sf_dir)
+        return spark.sql(text)
+
+    return run
+
+
+BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def built(sql: str | None):
+    def add(f):
+        BUILT[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+_NEST = [(7, [1, 2, 2], {"a": 10, "b": 20}), (8, [3], {"c": 30}), (9, [], {}), (10, None, None), (10, [4, None], {"d": 1, "e": 2, "f": 3})]
+_NEST_SQL = "(values (7, [1, 2, 2]), (8, [3]), (9, []::int[]), (10, null), (10, [4, null])) t(x, a)"
+
+
+def nest(spark: SparkSession) -> Plan:
+    return Plan.values(spark, _NEST, "x int, a array<int>, m map<string, int>")
+
+
+@built("select n_regionkey, count(*) as n from nation where n_nationkey > 3 group by n_regionkey having count(*) > 2")
+def builder_chain(spark, sf_dir):
+    load_tables(spark, sf_dir, ["nation"])
+    return Plan.scan(spark, "nation", ["n_nationkey", "n_regionkey"]).filter("n_nationkey > 3").aggregate(["n_regionkey"], ["count(*) as n"]).filter("n > 2").build()
+
+
+@built("select n_nationkey from nation where n_nationkey between 7 and 9")
+def limit_stacked(spark, sf_dir):
+    load_tables(spark, sf_dir, ["nation"])
+    return Plan.scan(spark, "nation", ["n_nationkey"]).sort("n_nationkey").limit(10).offset(7).limit(5).build()
+
+
+@built("select n_nationkey from nation where n_nationkey >= 20")
+def offset_only(spark, sf_dir):
+    load_tables(spark, sf_dir, ["nation"])
+    return Plan.scan(spark, "nation", ["n_nationkey"]).sort("n_nationkey").offset(20).build()
+
+
+@built("select n_nationkey from nation where false")
+def offset_huge(spark, sf_dir):
+    load_tables(spark, sf_dir, ["nation"])
+    return Plan.scan(spark, "nation", ["n_nationkey"]).sort("n_nationkey").offset(2**63 - 6).limit(100).build()
+
+
+@built("select l_returnflag, l_linestatus, case when grouping(l_returnflag) = 0 and grouping(l_linestatus) = 0 then 0 when grouping(l_returnflag) = 0 then 1 else 2 end::bigint as set_index, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus))")
+def grouping_set_index(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "lineitem")).grouping_sets([["l_returnflag", "l_linestatus"], ["l_returnflag"], ["l_linestatus"]], ["count(*) as n"]).build()
+
+
+@built("select r_regionkey, r_regionkey in (select n_regionkey from nation where n_nationkey > 22) as has from region")
+def mark_join(spark, sf_dir):
+    nation = Plan(table(spark, sf_dir, "nation")).filter("n_nationkey > 22")
+    return Plan(table(spark, sf_dir, "region")).project("r_regionkey").mark_join(nation, "r_regionkey = n_regionkey", "has").build()
+
+
+@built(f"select x, unnest(a) as y from {_NEST_SQL}")
+def unnest_array(spark, sf_dir):
+    return nest(spark).unnest("a", names=["y"]).project("x", "y").build()
+
+
+@built("select * from (values (7, 'a', 10), (7, 'b', 20), (8, 'c', 30), (10, 'd', 1), (10, 'e', 2), (10, 'f', 3)) t(x, k, v)")
+def unnest_map(spark, sf_dir):
+    return nest(spark).unnest("m", names=["k", "v"]).project("x", "k", "v").build()
+
+
+@built("select * from (values (7, 1, 'a', 10, 1::bigint), (7, 2, 'b', 20, 2), (7, 2, null, null, 3), (8, 3, 'c', 30, 1), (10, 4, 'd', 1, 1), (10, null, 'e', 2, 2), (10, null, 'f', 3, 3)) t(x, y, k, v, o)")
+def unnest_zip_pad(spark, sf_dir):
+    return nest(spark).unnest("a", "m", names=["y", "k", "v"], ordinality="o").project("x", "y", "k", "v", "o").build()
+
+
+@built(f"select x, y from (select x, unnest(case when len(a) > 0 then a else [null] end) as y from {_NEST_SQL})")
+def unnest_outer(spark, sf_dir):
+    return nest(spark).unnest("a", names=["y"], outer=True).project("x", "y").build()
+
+
+@built("select label, count(*) as n, round(sum(e), 3) as s from (select label, unnest(embedding)::double as e from embeddings where label < 5) where e > 0 group by label")
+def unnest_filter_group(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "embeddings")).filter("label < 5").unnest("embedding", names=["e"]).filter("e > 0").aggregate(["label"], ["count(*) as n", "round(sum(cast(e as double)), 3) as s"]).build()
+
+
+@built("select word, count(*) as n from (select unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) as word from benchmark) group by word having count(*) > 2")
+def unnest_words(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "benchmark")).unnest("filter(split(text, ' '), w -> w <> '')", names=["word"]).aggregate(["word"], ["count(*) as n"]).filter("n > 2").build()
+
+
+@built(f"select x, y, r_name from (select x, unnest(a) as y from {_NEST_SQL}) join region on y = r_regionkey")
+def unnest_join_after(spark, sf_dir):
+    return nest(spark).unnest("a", names=["y"]).join(Plan(table(spark, sf_dir, "region")), "y = r_regionkey").project("x", "y", "r_name").build()
+
+
+@built("select vec_id, len(list_filter(embedding, lambda e: e > label / 10.0))::int as n, round(list_sum(list_transform(embedding, lambda e: e::double * 2)), 3) as s from embeddings")
+def lambda_filter_capture(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "embeddings")).project("vec_id", "size(filter(embedding, e -> e > label / 10.0)) as n", "round(aggregate(transform(embedding, e -> cast(e as double) * 2), 0D, (a, b) -> a + b), 3) as s").build()
+
+
+@built("select * from (values (7, 11, 10, null, 2), (8, null, null, 31, 1), (9, null, null, null, 0), (10, null, null, null, null), (10, null, null, null, 3)) t(x, a1, a0, c1, n)")
+def map_access(spark, sf_dir):
+    more = F.transform_values("m", lambda k, v: v + 1)
+    row = presto.row_from_map(F.col("m"), ["a", "zz"], ["a0", "z0"])
+    return nest(spark).project("x", more.alias("p"), row.alias("r"), "cardinality(m) as n").project("x", "try_element_at(p, 'a') as a1", "r.a0", "try_element_at(p, 'c') as c1", "n").build()
+
+
+@built("select * from (values (7, 10, 0), (8, 0, 0), (9, 0, 0), (10, 0, 0), (10, 0, 0)) t(x, a0, z0)")
+def padded_row_from_map(spark, sf_dir):
+    return nest(spark).project("x", presto.row_from_map(F.col("m"), ["a", "zz"], ["a0", "z0"], F.lit(0)).alias("r")).project("x", "r.a0", "r.z0").build()
+
+
+@built("select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_totalprice desc, o_orderkey) as keys from orders where o_custkey < 200 group by o_custkey")
+def agg_array_ordered(spark, sf_dir):
+    keys = presto.array_agg_ordered(F.col("o_orderkey"), (F.col("o_totalprice"), True), (F.col("o_orderkey"), False))
+    return Plan(table(spark, sf_dir, "orders")).filter("o_custkey < 200").aggregate(["o_custkey"], [F.array_join(F.transform(keys, lambda x: x.cast("string")), ",").alias("keys")]).build()
+
+
+@built("select p_partkey, count(*) over (partition by p_brand order by p_size groups between 1 preceding and 1 following) as n from part")
+def win_groups_frame(spark, sf_dir):
+    return groups_frame(table(spark, sf_dir, "part"), F.count("*"), "n", ["p_brand"], ["p_size"], -1, 1).select("p_partkey", "n")
+
+
+@built("select event_id, isodow(ts)::int as dow, date_trunc('month', ts) as month, ts + interval 3 day as later, (props->>'$.k')::int as k, date_diff('day', date '2024-01-01', ts::date)::int as days from events")
+def fn_date_json(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "events")).project("event_id", presto.day_of_week(F.col("ts")).alias("dow"), "cast(date_trunc('month', ts) as timestamp_ntz) as month", "ts + interval 3 days as later", "cast(get_json_object(props, '$.k') as int) as k", "datediff(cast(ts as date), date '2024-01-01') as days").build()
+
+
+@built("select p_partkey, regexp_matches(p_name, '^s.*g$') as m, regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) as second, regexp_replace(p_name, '[aeiou]', '', 'g') as cons from part")
+def fn_regex(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "part")).project("p_partkey", "p_name rlike '^s.*g$' as m", "regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) as second", "regexp_replace(p_name, '[aeiou]', '') as cons").build()
+
+
+@built("select x, list_contains(a, 2) as two, list_max(a) as mx, array_to_string(list_sort(list_distinct(a)), ',') as d, array_to_string(a[1:2], ',') as s from " + _NEST_SQL)
+def fn_array(spark, sf_dir):
+    text = lambda e: f"array_join(transform({e}, v -> cast(v as string)), ',')"
+    return nest(spark).project("x", "coalesce(array_contains(a, 2), if(a is null, null, false)) as two", "array_max(a) as mx", text("filter(array_sort(array_distinct(a)), v -> v is not null)") + " as d", text("slice(a, 1, 2)") + " as s").build()
+
+
+@built("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def event_tumbling(spark, sf_dir):
+    from tessera.streaming.windows import tumbling
+
+    rows = tumbling(table(spark, sf_dir, "events"), "1 day", ["event_type"])
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@built(None)
+def agg_approx_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
+
+
+@built(None)
+def tablesample(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "orders")).sample(10).build()
+
+
+@built(None)
+def statistics(spark, sf_dir):
+    return column_stats(table(spark, sf_dir, "orders"))
+
+
+@built("select 'r_regionkey' as col_name, 'int' as data_type union all select 'r_name', 'string'")
+def show_columns(spark, sf_dir):
+    load_tables(spark, sf_dir, ["region"])
+    return spark.sql("describe region").select("col_name", "data_type")
+
+
+QUERIES = {k: _same(v) for k, v in SAME.items()} | {k: f for k, (f, _) in BUILT.items()}
+ORACLE = {k: v.replace("timestamp_ntz '", "timestamp '").replace(" div ", " // ").replace("(k) ignore nulls", "(k ignore nulls)") for k, v in SAME.items()} | {k: s for k, (_, s) in BUILT.items() if s}
