@@ -66,7 +66,7 @@ def exists(spark: SparkSession, name: str) -> bool:
 
 
 class WriteSession:
-    """begin, finish, abort: CREATE writes beside and becomes visible at finish; INSERT appends in one commit."""
+    """begin, finish, abort: CREATE holds its frames and becomes visible at finish; INSERT appends in one commit."""
 
     def __init__(self, spark: SparkSession, name: str, kind: str, layout: Layout | None = None):
         if kind not in ("CREATE", "INSERT"):
@@ -75,7 +75,7 @@ class WriteSession:
             raise ValueError(f"Table {name} already exists")
         if kind == "INSERT" and not exists(spark, name):
             raise ValueError(f"Table {name} does not exist")
-        self.spark, self.name, self.kind, self.layout, self.staged, self.frames = spark, name, kind, layout, f"{name}__staged", []
+        self.spark, self.name, self.kind, self.layout, self.frames = spark, name, kind, layout, []
 
     def write(self, df: DataFrame) -> None:
         self.frames.append(df)
@@ -101,8 +101,7 @@ class WriteSession:
             whole = whole.unionByName(df)
         whole = whole.select(*[whole[f.name].cast(f.dataType) for f in self.layout.schema])
         try:
-            self._writer(whole, self.layout).saveAsTable(self.staged)
-            self.spark.sql(f"ALTER TABLE {self.staged} RENAME TO {self.name}")
+            self._writer(whole, self.layout).saveAsTable(self.name)
         except Exception:
             self.abort()
             raise
@@ -111,7 +110,7 @@ class WriteSession:
     def abort(self) -> None:
         self.frames = []
         if self.kind == "CREATE":
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.staged}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def create_table(spark: SparkSession, name: str, df: DataFrame, options: dict | None = None) -> DataFrame:
