@@ -165,7 +165,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     classes = materialize(near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null"), "classes")
     drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    # the list grows with the corpus: it is never broadcast, so that the join is the same at every size
+    kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept
