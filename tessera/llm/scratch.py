@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Path of each table, with a weak reference to the file index that every plan over its files holds.
+_READ: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,19 +38,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _READ[path] = spark._jvm.java.lang.ref.WeakReference(index)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _READ.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def settle(spark: SparkSession) -> None:
-    """Asks the JVM to collect, upon which Spark's cleaner deletes the shuffle files of steps that are over."""
+    """Frees the disk of steps that are over.
+
+    The JVM is asked to collect, upon which Spark's cleaner deletes shuffle files, and tables whose files no DataFrame, and
+    none derived from it, can read any more are deleted.
+    """
+    gc.collect()
     spark._jvm.System.gc()
+    for path, index in list(_READ.items()):
+        if index.refersTo(None):
+            _delete(spark, path)

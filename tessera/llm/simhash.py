@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import discard, materialize
+from .scratch import discard, materialize, settle
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Fixed value: the generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code.
@@ -164,6 +164,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A doc_id names one text. Rows without doc_id cannot be named and stay; of repeated rows of a kept doc_id, one stays.
     """
     classes = materialize(near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null"), "classes")
+    settle(docs.sparkSession)
     drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
     # the list grows with the corpus: it is never broadcast, so that the join is the same at every size
     kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)
