@@ -210,3 +210,41 @@ def test_hosts(spark):
     urls = ["http://A.b:80/x?y", "https://c", None, "no scheme", "ftp://d#z"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(htmltext.host_of(F.col("u")).alias("h")).collect()
     assert [r["h"] for r in got] == ["a.b:80", "c", "", "no scheme", "d"]
+
+
+def _families():
+    """Lines of several unlike groups that share much wording, so that one band bucket holds more than one group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9)))
+    common, out = [word() for _ in range(40)], []
+    for _ in range(6):
+        tail = [word() for _ in range(16)]
+        for _ in range(14):
+            ws = common + tail
+            for at in rng.sample(range(len(ws)), rng.randint(1, 3)):
+                ws[at] = word()
+            out.append(" ".join(ws))
+    return out
+
+
+def test_buckets_of_several_groups_lose_no_link(spark):
+    texts = _families()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["line_md5"]: r["kept_md5"] for r in lines.classes(docs).collect()}
+    rows = docs.select(F.md5("text").alias("m"), lines.band_keys(F.col("text")).alias("keys"), lines.shingles(F.col("text")).alias("s")).collect()
+    rows = [(r["m"], set(r["keys"]), set(r["s"])) for r in rows]
+    root = {m: m for m, _, _ in rows}
+
+    def find(m):
+        while root[m] != m:
+            m = root[m]
+        return m
+
+    for i, (m, keys, s) in enumerate(rows):
+        for n, others, t in rows[:i]:
+            if keys & others and len(s & t) >= lines.SIMILARITY * len(s | t):
+                root[find(m)] = find(n)
+    classes = lambda of: {frozenset(m for m in root if of(m) == c) for c in map(of, root)}
+    want = classes(find)
+    assert classes(kept.get) == want
+    assert 1 < len(want) < len(rows)
