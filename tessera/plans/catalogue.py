@@ -137,6 +137,14 @@ SAME = {
     "tpch_q18": "select c_custkey, o_orderkey, round(sum(l_quantity), 2) as q from customer, orders, lineitem where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 200) and c_custkey = o_custkey and o_orderkey = l_orderkey group by c_custkey, o_orderkey",
     "tpch_q19": f"select {_REV} as revenue from lineitem, part where (p_partkey = l_partkey and p_brand = 'Brand#1' and l_quantity between 1 and 11 and p_size between 1 and 15) or (p_partkey = l_partkey and p_brand = 'Brand#2' and l_quantity between 10 and 20 and p_size between 1 and 30)",
     "tpch_q22": "select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as b from customer where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000) group by c_nationkey",
+    # joins with filters, repeated and pushed aggregates
+    "join_left_on_filter": "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'F' and c_acctbal > 5000",
+    "agg_having_pushdown": "select o_custkey, count(*) as n from orders group by o_custkey having o_custkey < 100 and count(*) > 5",
+    "agg_dedup": "select o_orderstatus as a, o_orderstatus as b, count(*) as n, count(*) as m from orders group by o_orderstatus, o_orderstatus",
+    "agg_grouping_id": "select o_orderstatus, o_orderpriority, cast(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) as bigint) as g, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)",
+    "tpch_q15": f"with r as (select l_suppkey as k, {_REV} as revenue from lineitem where l_shipdate >= timestamp_ntz '1996-01-01' and l_shipdate < timestamp_ntz '1996-04-01' group by l_suppkey) select s_suppkey, s_name, revenue from supplier join r on s_suppkey = k where revenue = (select max(revenue) from r)",
+    "tpch_q21": "select s_name, count(*) as n from supplier, lineitem l1, orders, nation where s_suppkey = l1.l_suppkey and o_orderkey = l1.l_orderkey and o_orderstatus = 'F' and l1.l_returnflag = 'R' and exists (select 1 from lineitem l2 where l2.l_orderkey = l1.l_orderkey and l2.l_suppkey <> l1.l_suppkey) and not exists (select 1 from lineitem l3 where l3.l_orderkey = l1.l_orderkey and l3.l_suppkey <> l1.l_suppkey and l3.l_returnflag = 'R') and s_nationkey = n_nationkey and n_name = 'NATION_3' group by s_name",
+    "tpch_q16": "select p_brand, p_size, count(distinct l_suppkey) as suppliers from (select distinct l_partkey, l_suppkey from lineitem) ps, part where p_partkey = l_partkey and p_brand <> 'Brand#4' and p_size in (3, 9, 14, 19) and l_suppkey not in (select s_suppkey from supplier where s_acctbal < 0) group by p_brand, p_size",
 }
 
 
@@ -289,6 +297,37 @@ def event_tumbling(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@built(f"select x, y, z from (select x, y, unnest([y, x]) as z from (select x, unnest(a) as y from {_NEST_SQL})) where z is not null")
+def unnest_chain(spark, sf_dir):
+    return nest(spark).unnest("a", names=["y"]).unnest("array(y, x)", names=["z"]).filter("z is not null").project("x", "y", "z").build()
+
+
+@built("select y, o from (values (1, 1::bigint), (2, 2), (3, 3)) t(y, o)")
+def unnest_constant(spark, sf_dir):
+    return Plan(spark.range(1)).unnest("sequence(1, 3)", names=["y"], ordinality="o").project("y", "o").build()
+
+
+@built(f"select y, count(*) as n from (select x, unnest(a) as y from {_NEST_SQL} where x < 10) where y > 1 group by y")
+def unnest_filter_before_after(spark, sf_dir):
+    return nest(spark).filter("x < 10").unnest("a", names=["y"]).filter("y > 1").aggregate(["y"], ["count(*) as n"]).build()
+
+
+@built("select vec_id, list_max(embedding)::double as s, len(list_filter(list_zip(embedding, embedding), lambda p: p[1] + p[2] > 0))::int as n from embeddings")
+def lambda_reduce_zip_with(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "embeddings")).project("vec_id", "reduce(embedding, -1e9D, (a, e) -> greatest(a, cast(e as double))) as s", "size(filter(zip_with(embedding, embedding, (p, q) -> p + q), v -> v > 0)) as n").build()
+
+
+@built("select p_partkey, p_size as x, p_name as y, 2 as n from part")
+def map_from_arrays_row_access(spark, sf_dir):
+    made = Plan(table(spark, sf_dir, "part")).project("p_partkey", "map_from_arrays(array('size', 'key'), array(p_size, 0)) as m", "named_struct('name', p_name) as r")
+    return made.project("p_partkey", "element_at(m, 'size') as x", "r.name as y", "cardinality(m) as n").build()
+
+
+@built("select o_orderkey, (o_orderdate + interval 1 month)::date as m, (o_orderdate + interval 1 year)::date as y, (o_orderdate - interval 90 day)::date as d from orders")
+def fn_interval(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "orders")).project("o_orderkey", *[f"cast(o_orderdate {i} as date) as {c}" for i, c in (("+ interval 1 month", "m"), ("+ interval 1 year", "y"), ("- interval 90 days", "d"))]).build()
+
+
 @built(None)
 def agg_approx_distinct(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
