@@ -197,11 +197,8 @@ def _extract(batches):
         for r in batch.to_pylist():
             fixed = template_places(r["keys"], r["places"], r["template"] or [])
             blocks = [(t, c, a in fixed) for a, t, f, c in zip(r["at"], r["texts"], r["furniture"], r["content"], strict=True) if not f]
-            if any(c for _, c, _ in blocks):
-                kept = [t for t, c, _ in blocks if c]
-            else:
-                slots = [t for t, _, known in blocks if not known]
-                kept = slots or [t for t, _, _ in blocks]
+            within = [b for b in blocks if b[1]] or blocks
+            kept = [t for t, _, known in within if not known] or [t for t, _, _ in within]
             texts.append("\n".join(kept))
         out = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out, pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -210,9 +207,9 @@ def _extract(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html).
 
-    Slots inside article or main elements are the article wherever a page has such text: a host may print one article on
-    many pages, so repetition says nothing there. On other pages the host's template goes and the rest of the slots stay;
-    a page that is all template (copies of one page) stays whole. Furniture and hidden elements always go. Null html is
+    The host's template goes from every page, inside article and main elements too, and the slots that are left stay: those
+    inside article or main where a page has text there. Where nothing would be left of that text (copies of one page or
+    article), it stays whole. Furniture and hidden elements always go. Null html is
     empty; null url is a host of its own; repeated rows are pages like any others; other columns are not read; an empty
     table gives no rows.
     """
