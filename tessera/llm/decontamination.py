@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased, so case and punctuation do not matter. A
-first pass over the documents counts how many hold each 3-gram of the benchmark. Of any three 3-grams in a row of an item
-the rarest is a seed, so five equal words in a row hold one. A second pass looks the seeds up in each document; where two
-seeds of an item (or one rare seed) meet, the item is aligned with that stretch of the document, and the best local
-alignment (match 2, mismatch and gap -1) is scored against the item's own.
+Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased, so case and punctuation do not matter.
+Every 3-gram of an item is a seed, however common, so three equal words in a row are one. A pass looks the seeds up in each
+document; around each the item is aligned with that stretch of the document unless the words that they share cannot reach
+the least score, and the best local alignment (match 2, mismatch and gap -1) is scored against the item's own.
 
 The benchmark is the bounded side: it is taken in blocks of at most BLOCK bytes of text (one item at least), each of which
-is sent to the executors and costs two passes over the documents; nothing of the documents is shuffled or collected but
-counts of benchmark 3-grams and the alignments found.
+is sent to the executors and costs a pass over the documents; nothing of the documents is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -20,11 +18,9 @@ from pyspark.sql import functions as F
 
 from . import words as V
 
-GRAM, STRETCH, BLOCK = 3, 3, 4 << 20
+GRAM, BLOCK = 3, 4 << 20
 SIMILARITY, LEAST_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A document frequency (of a million documents, at least RARE_LEAST documents) up to which one seed alone is enough.
-RARE, RARE_LEAST = 200, 20
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 FOLD = np.arange(256, dtype=np.uint8)
@@ -50,7 +46,10 @@ class Index:
             pos.append(at - part.bounds[part.text[at]])
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         gram, self.item, self.pos = cat(grams, np.uint64), cat(item, np.int64), cat(pos, np.int64)
-        self.grams, self.gram = np.unique(gram, return_inverse=True)
+        self.grams, gram = np.unique(gram, return_inverse=True)
+        order = np.argsort(gram, kind="stable")
+        self.item, self.pos = self.item[order], self.pos[order]
+        self.starts = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
         self.filter()
 
     def filter(self) -> None:
@@ -66,24 +65,6 @@ class Index:
         ok = self.grams[slot] == hashes[at]
         return at[ok], slot[ok]
 
-    def seed(self, frequency: np.ndarray, rare: int) -> None:
-        """Keeps the rarest gram of each stretch of grams; starts[g] : starts[g + 1] are the places of gram g."""
-        order = np.lexsort((self.pos, self.item))
-        keep = np.zeros(len(self.gram), bool)
-        bounds = np.searchsorted(self.item[order], np.arange(len(self.items) + 1))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = order[a:b]
-            counts = frequency[self.gram[own]]
-            for s in range(max(1, len(own) - STRETCH + 1) if len(own) else 0):
-                keep[own[s + int(np.argmin(counts[s : s + STRETCH]))]] = True
-        self.item, self.pos, gram = self.item[keep], self.pos[keep], self.gram[keep]
-        used = np.unique(gram)
-        self.grams, self.rare, gram = self.grams[used], frequency[used] <= rare, np.searchsorted(used, gram)
-        order = np.argsort(gram, kind="stable")
-        self.item, self.pos, self.gram = self.item[order], self.pos[order], gram[order]
-        self.starts = np.searchsorted(self.gram, np.arange(len(used) + 1))
-        self.filter()
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: the best local score, and the passage's words from and to (exclusive) that it covers."""
@@ -107,24 +88,6 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return top, j - back, j
 
 
-def _count(index):
-    def run(batches):
-        known = index.value
-        total, docs = np.zeros(len(known.grams), np.int64), 0
-        for batch in batches:
-            docs += batch.num_rows
-            for part, hashes in tokens(batch.column(0)):
-                at, got = part.windows(hashes, GRAM)
-                hit, gram = known.find(got)
-                pairs = np.unique(part.text[at[hit]] * np.int64(len(known.grams) + 1) + gram)
-                total += np.bincount(pairs % (len(known.grams) + 1), minlength=len(total))[: len(total)]
-        some = np.flatnonzero(total)
-        gram, n = np.concatenate((some, [-1])), np.concatenate((total[some], [docs]))
-        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
-
-    return run
-
-
 def _passages(known: Index, text: np.ndarray, pos: np.ndarray, gram: np.ndarray):
     """(text, item, first word, last word) worth aligning, from seed hits; stretches that overlap are one."""
     n = known.starts[gram + 1] - known.starts[gram]
@@ -139,10 +102,9 @@ def _passages(known: Index, text: np.ndarray, pos: np.ndarray, gram: np.ndarray)
     new = np.concatenate(([True], (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > sizes[1:] // 2)))
     cut = np.append(np.flatnonzero(new), len(hit))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        if known.rare[gram[hit[a:b]]].any() or len(np.unique(known.pos[place[a:b]])) > 1:
-            size = int(sizes[a])
-            pad = size // 4 + 4
-            yield int(of[a]), int(item[a]), int(diagonal[a]) - pad, int(diagonal[b - 1]) + size + pad
+        size = int(sizes[a])
+        pad = size // 4 + 4
+        yield int(of[a]), int(item[a]), int(diagonal[a]) - pad, int(diagonal[b - 1]) + size + pad
 
 
 def _leaks(index, similarity: float, least: int):
@@ -158,8 +120,11 @@ def _leaks(index, similarity: float, least: int):
                     words = hashes[part.bounds[text] : part.bounds[text + 1]]
                     lo = max(lo, 0)
                     own = known.items[item]
+                    need = max(similarity * len(own), min(len(own), least))
+                    if np.isin(own, words[lo:hi]).sum() < need:
+                        continue
                     score, a, b = align(own, words[lo:hi])
-                    if score >= MATCH * max(similarity * len(own), min(len(own), least)):
+                    if score >= MATCH * need:
                         key = (part.first + text, item)
                         found[key] = max(found.get(key, (0,)), (score / (MATCH * len(own)), -(lo + a), lo + b))
             rows = [(batch.column(0)[d].as_py(), known.item_ids[i], s, -a, b) for (d, i), (s, a, b) in found.items()]
@@ -187,14 +152,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
         index = Index([r["item_id"] for r in rows], [r["text"] for r in rows])
-        sent = spark.sparkContext.broadcast(index)
-        counts = texts.select("text").mapInArrow(_count(sent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        frequency = np.zeros(len(index.grams), np.int64)
-        for r in counts:
-            if r["gram"] >= 0:
-                frequency[r["gram"]] = r["n"]
-        documents = sum(r["n"] for r in counts if r["gram"] < 0)
-        index.seed(frequency, max(RARE_LEAST, documents * RARE // 1_000_000))
         found = texts.mapInArrow(_leaks(spark.sparkContext.broadcast(index), similarity, least), "doc_id long, item_id long, similarity double, first_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
