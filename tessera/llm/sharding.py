@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve: quantise metadata, sort by curve index, cut runs of equal row counts.
 
 Rows near in (language, source, size) are near on the curve, so each shard covers a small box of all three dimensions and a
-reader prunes shards by the ranges in manifest(). The global rank comes from a range sort and one count a partition, so no
+reader prunes shards by the ranges in manifest(). A dimension's coordinate is the share of rows whose value comes before its
+own, so neighbours in a range are neighbours in order, and half of the rows lie in each half of the curve's cube. The global rank comes from a range sort and one count a partition, so no
 key, however frequent, meets in one task: the sort key ends in crc and doc_id, which split a hot cell.
 """
 
@@ -44,10 +45,25 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return step(point, lambda p: reduce(lambda a, b: a.bitwiseOR(b), [bit(p, i, b) for b in range(bits) for i in range(n)]))
 
 
-def dimensions() -> list[Column]:
-    """Language and source by hash, size by eighths of a power of two: 8 bits each."""
-    hashed = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(256))
-    return [hashed("lang"), hashed("source"), F.least(F.lit(255), F.floor(F.log2(F.col("size").cast("double")) * 8))]
+def _eighths(size: Column) -> Column:
+    """Sizes by eighths of a power of two."""
+    return F.floor(F.log2(size.cast("double")) * 8).cast("int")
+
+
+def coordinates(rows: DataFrame, values: list[str], bits: int = BITS) -> list[DataFrame]:
+    """For each column of rows a table (value, code): whole numbers of so many bits that keep the values' order.
+
+    The code is the share of rows before the value. Counting is one pass that combines before its shuffle; the running sum
+    meets a row for each distinct value. Written, so that their size decides whether they are sent to the executors.
+    """
+    cells = materialize(rows.groupBy(*values).agg(F.count("*").alias("_n")), "cells")
+    tables = []
+    for v in values:
+        by = cells.groupBy(v).agg(F.sum("_n").alias("_n"))
+        w = Window.orderBy(F.col(v).asc_nulls_first())
+        before, every = F.sum("_n").over(w) - F.col("_n"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        tables.append(materialize(by.select(F.col(v).alias("_value"), before.alias("_before"), every.alias("_every")).select("_value", F.expr(f"cast(_before * {1 << bits} div _every as int)").alias(f"_code_{v}")), "codes"))
+    return tables
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFrame:
@@ -60,9 +76,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, carry: bool = False) -> DataFra
     """
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(*row, F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    keep = [*["_row"][: len(row)], "doc_id", "size", "text_crc32"]
-    placed = sized.select(*keep, hilbert_index(dimensions()).alias("curve"))
+    sized = docs.select(*row, F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    sized = sized.withColumn("_size", _eighths(F.col("size")))
+    keep, dims = [*["_row"][: len(row)], "doc_id", "size", "text_crc32"], ["_lang", "_source", "_size"]
+    placed = sized
+    for d, codes in zip(dims, coordinates(sized, dims), strict=True):
+        placed = placed.join(codes, placed[d].eqNullSafe(codes["_value"])).drop("_value")
+    placed = placed.select(*keep, hilbert_index([F.col(f"_code_{d}") for d in dims]).alias("curve"))
     order = ["curve", "text_crc32", "doc_id"]
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = materialize(ranged.select(*keep, "curve", F.monotonically_increasing_id().alias("_at")), "curve")
