@@ -14,12 +14,13 @@ from .scratch import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 BITS = 6
-#: measure -> allowance in parts of a thousand beyond the spread, so that a group without any spread has no zero-width fence
-MEASURES = {"symbols": 150, "repeats": 200, "dup_lines": 400, "word_length": 3000}
+#: measure -> allowance in parts of a thousand beyond the spread, so that a group without any spread has no zero-width fence;
+#: each below what the base rules let pass (repeats: 200), so that every measure can reject
+MEASURES = {"symbols": 150, "repeats": 100, "dup_lines": 200, "word_length": 3000}
 #: How many interquartile spreads beyond the upper quartile a measure may lie.
 REACH = 3
-#: A (language, source) with fewer documents takes its language's thresholds, and a language with fewer all documents'.
-LEAST = 50
+#: A threshold is drawn towards that of the language, and a language's towards that of all, by the weight of so many documents.
+PRIOR = 5
 
 
 def let(value: Column, body) -> Column:
@@ -110,13 +111,17 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source) with a fence for every measure, from the narrowest level with LEAST documents."""
+    """One row for each (lang, source) with a fence for every measure.
+
+    The fence of n documents counts n times, its language's PRIOR times, and so on upwards: a small group follows its
+    language, a large one itself, without a step between.
+    """
     own, lang, every = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
-    lang = lang.select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("docs").alias("ld"), F.col("fence").alias("lf"))
+    drawn = lambda n, fence, above: F.expr(f"({n} * {fence} + {PRIOR} * {above}) div ({n} + {PRIOR})")
     every = every.select(F.col("measure").alias("em"), F.col("fence").alias("ef"))
-    chosen = F.when(F.col("docs") >= LEAST, F.col("fence")).when(F.col("ld") >= LEAST, F.col("lf")).otherwise(F.col("ef"))
-    table = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["measure"] == lang["m"])).join(every, own["measure"] == every["em"])
-    return table.select("lang", "source", "measure", chosen.alias("fence")).groupBy("lang", "source").agg(
+    lang = lang.join(every, lang["measure"] == every["em"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), drawn("docs", "fence", "ef").alias("lf"))
+    table = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["measure"] == lang["m"]))
+    return table.select("lang", "source", "measure", drawn("docs", "fence", "lf").alias("fence")).groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"max_{m}") for m in MEASURES]
     )
 

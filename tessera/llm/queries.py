@@ -93,11 +93,13 @@ bins as (
   select lang, source, measure, (x >> greatest(0, length(bin(x)) - BITS)::bigint) << greatest(0, length(bin(x)) - BITS)::bigint as bin,
     count(*) as n from long group by all),
 FENCES
+drawn as (
+  select o.lang, o.source, o.measure, (o.docs * o.fence + PRIOR * ((l.docs * l.fence + PRIOR * e.fence) // (l.docs + PRIOR))) // (o.docs + PRIOR) as fence
+  from f2 o join f1 l on o.lang is not distinct from l.lang and o.measure = l.measure join f0 e on o.measure = e.measure),
 limits as (
-  select o.lang, o.source,
+  select lang, source,
     MAXES
-  from f2 o join f1 l on o.lang is not distinct from l.lang and o.measure = l.measure join f0 e on o.measure = e.measure
-  group by o.lang, o.source)
+  from drawn group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce(symbols > max_symbols, false) and not coalesce(repeats > max_repeats, false)
     and not coalesce(dup_lines > max_dup_lines, false) and not coalesce(word_length > max_word_length, false) as kept,
@@ -142,16 +144,28 @@ select doc_id, size, source_size, target,
 from cut
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Word lists instead of text replacement: lines are dropped from a list, marks from a list of tokens, words are looked up in a map.
 _OP6 = rf"""
 with plain as (
   select doc_id as id, null as license, coalesce(text, '') as t from documents
-  union all select null, name, body from (values {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.LICENSES.items())}) v(name, body)),
-spaced as (
-  select id, license, ' ' || regexp_replace(regexp_replace(lower(t), '{licenses._COPYRIGHT}', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ' as t from plain),
+  union all select null, name, body from (values {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.texts())}) v(name, body)),
+kept as (
+  select id, license, list_filter(string_split(lower(t), chr(10)),
+    lambda l: not (regexp_matches(l, '{licenses.NOTICE}') or (regexp_matches(l, '{licenses.HOLDER}') and not regexp_matches(l, '{licenses.IN_SENTENCE}')))) as ls from plain),
+tokens as (
+  select id, license, list_filter(regexp_split_to_array(array_to_string(ls, chr(10)), '[\x20\x09-\x0D]+'), lambda x: not regexp_full_match(x, '{licenses.MARK}')) as xs from kept),
+words as (
+  select id, license, regexp_extract_all(array_to_string(xs, ' '), '[\p{{L}}\p{{N}}]+') as ws from tokens),
 spelled as (
-  select id, license, {"replace(" * len(licenses.SPELLINGS)}t{"".join(f", ' {a} ', ' {b} ')" for a, b in licenses.SPELLINGS.items())} as t from spaced),
+  select id, license, list_transform(ws, lambda w: coalesce(map {{{", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in licenses.SPELLINGS.items())}}}[w], w)) as ws from words),
+joined as (
+  select id, license, {"replace(" * len(licenses.PHRASES)}'  ' || array_to_string(string_split(array_to_string(ws, ' '), ' '), '  ') || '  '{"".join(f", ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')" for a, b in licenses.PHRASES.items())} as t from spelled),
 digests as (
-  select id, license, sha256(trim(regexp_replace(t, ' +', ' ', 'g'))) as digest from spelled),
+  select id, license, sha256(trim(regexp_replace(t, ' +', ' ', 'g'))) as digest from joined),
 known as (
   select digest, min(license) as license from digests where license is not null group by digest)
 select d.id as doc_id, d.digest, k.license from digests d left join known k using (digest) where d.license is null
@@ -161,6 +175,7 @@ ORACLE = {
     "op6_license_scans": _OP6,
     "op2_quality_rules": _OP2.replace("BITS", str(quality.BITS))
     .replace("FENCES", "\n".join(_fence_sql(n, k) for n, k in (("f2", "lang, source"), ("f1", "lang"), ("f0", ""))))
-    .replace("MAXES", ",\n    ".join(f"max(case when o.measure = '{m}' then case when o.docs >= {quality.LEAST} then o.fence when l.docs >= {quality.LEAST} then l.fence else e.fence end end) as max_{m}" for m in _MEASURES)),
+    .replace("MAXES", ",\n    ".join(f"max(fence) filter (measure = '{m}')::bigint as max_{m}" for m in _MEASURES))
+    .replace("PRIOR", str(quality.PRIOR)),
     "op8_mixing": _OP8,
 }
