@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as V
 from .decontamination import FOLD, SEPARATORS
+from .scratch import discard, materialize
 
 BUCKETS, MAX_LABELLED, GRADES = 1 << 18, 8000, 3
+#: The most (document, feature) pairs that the driver holds: documents are taken in order until their features reach it.
+MAX_FEATURES = 1 << 25
 #: Buckets below this number are for the shape of the text.
 SHAPES = 96
 #: The least probability of the best grade for selection: below a half, as losing a good document costs more than a fair one.
@@ -107,17 +110,25 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def _pairs(batches):
     for batch in batches:
-        row, bucket = features(batch.column(1))
+        row, bucket = features(batch.column(2))
         cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
         packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["grade", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut).astype(np.int64)), pa.array(packed, pa.binary())], names=["doc_id", "grade", "n", "buckets"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
-    """The model from at most so many labelled documents; None if no label meets a document."""
-    sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rated = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").select("grade", "text")
-    rows = rated.mapInArrow(_pairs, "grade int, buckets binary").collect()
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_features: int = MAX_FEATURES) -> Model | None:
+    """The model from at most so many labelled documents, with so many features; None if no label meets a document.
+
+    Both bounds take documents in the order of a hash of doc_id. Of rows with one doc_id the least text counts.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sample = graded(labels).orderBy(*order).limit(most)
+    rated = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    pairs = materialize(rated.mapInArrow(_pairs, "doc_id long, grade int, n long, buckets binary"), "pairs")
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    within = pairs.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_features).select("doc_id")
+    rows = pairs.join(within, "doc_id").orderBy(*order).select("grade", "buckets").collect()
+    discard(pairs)
     if not rows:
         return None
     lists = [np.frombuffer(r["buckets"], "<i4") for r in rows]
@@ -139,8 +150,8 @@ def _score(model):
 def classify(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """doc_id, expected_grade (0 to 2), p_not_toxic, p_good and selected (p_good at least SELECT) for every row of docs.
 
-    Null text has no features and gets the grades' base rate. Without usable labels the scores are null and every row is
-    selected. Repeated rows come out repeated; other columns are not read; an empty table gives no rows.
+    Null text has no features and gets the grades' base rate; texts may be of any length, and equal texts score alike.
+    Without usable labels the scores are null and every row is selected. Repeated rows come out repeated; other columns are not read; an empty table gives no rows.
     """
     model = train(docs, labels, most)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
