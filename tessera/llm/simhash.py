@@ -4,7 +4,8 @@ A fingerprint has 64 bits in four segments of 16. Of two fingerprints at 3 or fe
 in both, and of any two further segments one differs in at most one bit. Padded to 23 bits, a segment lies within 3 bits of
 exactly one word of the perfect binary Golay code, so two segments at one bit share a code word that lies within 4 bits of
 both. The keys (e, equal segment, g, code word) for g = e+1 and e+2 therefore find every linked pair: eight tables of 28
-bits, about 42 keys a fingerprint.
+bits, about 42 keys a fingerprint. Of the two segments that such a key leaves out, one again differs in at most one bit: where a
+bucket still holds several components, its members meet under finer keys with a code word of either, 40 bits in all.
 """
 
 from __future__ import annotations
@@ -101,6 +102,29 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[rows])], names=["key", "fp"])
 
 
+def finer_keys(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (index of key, finer key) of the buckets keys that hold the fingerprints."""
+    offsets, values = code_words()
+    e, step = keys >> 29, (keys >> 28 & 1) + 1
+    rows, finer = [], []
+    for i, turn in enumerate((step % 3 + 1, (step + 1) % 3 + 1)):
+        part = (prints >> (16 * ((e + turn) % 4)).astype(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)
+        n = offsets[part + 1] - offsets[part]
+        row = np.repeat(np.arange(len(keys)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        rows.append(row)
+        finer.append(keys[row] << 13 | i << 12 | values[offsets[part][row] + within])
+    return np.concatenate(rows), np.concatenate(finer)
+
+
+def _finer(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 14):
+            keys, prints, c = (batch.column(i).slice(at, 1 << 14).to_numpy() for i in range(3))
+            rows, finer = finer_keys(keys, prints.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(prints[rows]), pa.array(c[rows])], names=["key", "fp", "c"])
+
+
 def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
@@ -109,8 +133,8 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     """(node, component) of the distinct fingerprints prints(fp) that have a link.
 
     Exact without pairs of whole buckets: each bucket links its members to its smallest and largest fingerprint where
-    those lie within 3 bits. Only in buckets whose members then still belong to several components are the members
-    outside the first one's component compared with the rest, and only across components.
+    those lie within 3 bits. Only the members of buckets that then still hold several components get finer keys, and in
+    finer buckets of several components the members outside the first one are compared with the rest, across components.
     """
     keyed = prints.select("fp").mapInArrow(_keyed, "key long, fp long")
     buckets = materialize(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -126,8 +150,10 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     label = lambda c: F.coalesce(F.col("component"), F.col(c))
     named = members.select("key", "fp").join(first, members["fp"] == first["node"], "left").select("key", "fp", label("fp").alias("c"))
     named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "c0")
-    named = named.join(mixed, "key")
+    several = lambda rows: rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "c0")
+    open_ = named.join(several(named).select("key"), "key").select("key", "fp", "c")
+    finer = materialize(open_.mapInArrow(_finer, "key long, fp long, c long"), "finer")
+    named = finer.join(several(finer), "key")
     others = named.where("c <> c0").select("key", F.col("fp").alias("other"), F.col("c").alias("oc"))
     cross = others.join(named.select("key", "fp", "c"), (others["key"] == named["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
     cross = materialize(cross.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct(), "cross")
@@ -136,7 +162,7 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     merged = merged.select("node", F.coalesce("into", "component").alias("component"))
     lone = second.join(first.select("node"), "node", "left_anti")
     out = materialize(merged.union(lone), "linked")
-    for x in (buckets, members, stars, first, cross):
+    for x in (buckets, members, stars, first, finer, cross):
         discard(x)
     return out
 
