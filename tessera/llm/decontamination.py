@@ -5,8 +5,8 @@ Every 3-gram of an item is a seed, however common, so three equal words in a row
 document; around each the item is aligned with that stretch of the document unless the words that they share cannot reach
 the least score, and the best local alignment (match 2, mismatch and gap -1) is scored against the item's own.
 
-The benchmark is the bounded side: it is taken in blocks of at most BLOCK bytes of text (one item at least), each of which
-is sent to the executors and costs a pass over the documents; nothing of the documents is shuffled or collected.
+The benchmark is the bounded side: its distinct texts are taken in blocks of at most BLOCK bytes (one text at least), each of
+which is sent to the executors, costs a pass over the documents and is released; nothing of the documents is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as V
+from .scratch import materialize
 
 GRAM, BLOCK = 3, 4 << 20
 SIMILARITY, LEAST_WORDS = 0.5, 8
+#: Pairs of a seed in a document and its place in an item that a task holds at once.
+PLACES = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -50,6 +53,7 @@ class Index:
         order = np.argsort(gram, kind="stable")
         self.item, self.pos = self.item[order], self.pos[order]
         self.starts = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.filter()
 
     def filter(self) -> None:
@@ -89,18 +93,29 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def _passages(known: Index, text: np.ndarray, pos: np.ndarray, gram: np.ndarray):
-    """(text, item, first word, last word) worth aligning, from seed hits; stretches that overlap are one."""
+    """(text, item, first word, last word) worth aligning, from seed hits; stretches that overlap are one.
+
+    Hits are paired with their places in the items PLACES at a time, so a word repeated over and over costs time, not memory.
+    Each stretch reaches an item's length beyond its hits, so one that is cut in two is still covered by either part.
+    """
+    upto = np.cumsum(known.starts[gram + 1] - known.starts[gram])
+    a = 0
+    while a < len(gram):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PLACES, "right")))
+        yield from _stretches(known, text[a:b], pos[a:b], gram[a:b])
+        a = b
+
+
+def _stretches(known: Index, text: np.ndarray, pos: np.ndarray, gram: np.ndarray):
     n = known.starts[gram + 1] - known.starts[gram]
     hit = np.repeat(np.arange(len(gram)), n)
     place = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + known.starts[gram][hit]
     item, diagonal = known.item[place], pos[hit] - known.pos[place]
-    sizes = np.array([len(x) for x in known.items])[item]
-    order = np.lexsort((diagonal, item, text[hit]))
-    hit, place, item, diagonal, sizes, of = hit[order], place[order], item[order], diagonal[order], sizes[order], text[hit][order]
-    if not len(hit):
-        return
+    sizes, of = known.sizes[item], text[hit]
+    order = np.lexsort((diagonal, item, of))
+    item, diagonal, sizes, of = item[order], diagonal[order], sizes[order], of[order]
     new = np.concatenate(([True], (of[1:] != of[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > sizes[1:] // 2)))
-    cut = np.append(np.flatnonzero(new), len(hit))
+    cut = np.append(np.flatnonzero(new), len(of))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         size = int(sizes[a])
         pad = size // 4 + 4
@@ -130,36 +145,42 @@ def _leaks(index, similarity: float, least: int):
             rows = [(batch.column(0)[d].as_py(), known.item_ids[i], s, -a, b) for (d, i), (s, a, b) in found.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_id", "similarity", "first_word", "end_word"])
 
     return run
 
 
+_FOUND = "doc_id long, text_id long, similarity double, first_word long, end_word long"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): documents that hold a copy, maybe edited, of a benchmark item.
 
     similarity is the alignment's score over that of the whole item with itself; a row has at least the one asked for and
-    min(item's words, least) matching words' worth. The words are counted within the document. Null text or item has no
-    words; items of fewer than 3 words cannot be sought; repeated items or documents give repeated rows; a null doc_id or
+    min(item's words, least) matching words' worth. Of equal scores the first stretch, then the longer one is given. The
+    words are counted within the document, which may be of any length. Null text or item has no words; items of fewer than
+    3 words cannot be told from chance and are not sought; repeated items or documents give repeated rows; a null doc_id or
     item_id comes out as null. Other columns are not read; empty tables give no rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.octet_length("text") >= 2 * GRAM - 1)
+    distinct = items.groupBy("text").agg(F.count("*").alias("n")).select(F.xxhash64("text").alias("text_id"), "text")
+    distinct = materialize(distinct, "items")
+    size = distinct.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
+    out = spark.createDataFrame([], _FOUND)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
-        index = Index([r["item_id"] for r in rows], [r["text"] for r in rows])
-        found = texts.mapInArrow(_leaks(spark.sparkContext.broadcast(index), similarity, least), "doc_id long, item_id long, similarity double, first_word long, end_word long")
-        out = found if out is None else out.union(found)
-    return out
+        rows = distinct.where(F.pmod("text_id", F.lit(blocks)) == b).collect()
+        index = Index([r["text_id"] for r in rows], [r["text"] for r in rows])
+        sent = spark.sparkContext.broadcast(index)
+        out = out.union(materialize(texts.mapInArrow(_leaks(sent, similarity, least), _FOUND), "found"))
+        sent.destroy()
+    names = items.select("item_id", F.xxhash64("text").alias("text_id"))
+    return out.join(names, "text_id").select("doc_id", "item_id", "similarity", "first_word", "end_word")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that contaminated() names; rows without doc_id stay."""
-    from .scratch import materialize
-
     leaks = materialize(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
