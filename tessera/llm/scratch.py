@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PAUSE = 1.0
 _OWN: dict[str, str] = {}
 #: Path of each table, with a weak reference to the file index that every plan over its files holds.
 _READ: dict[str, object] = {}
@@ -61,10 +63,13 @@ def settle(spark: SparkSession) -> None:
     """Frees the disk of steps that are over.
 
     The JVM is asked to collect, upon which Spark's cleaner deletes shuffle files, and tables whose files no DataFrame, and
-    none derived from it, can read any more are deleted.
+    none derived from it, can read any more are deleted. On a cluster the next step waits PAUSE seconds for the cleaner,
+    which works on its own, so that it does not add its files to those of the last.
     """
     gc.collect()
     spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(PAUSE)
     for path, index in list(_READ.items()):
         if index.refersTo(None):
             _delete(spark, path)
