@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def divide(a: Column, b: Column, integers: bool) -> Column:
     """Whole numbers: truncated, an error for 0. Doubles: infinities and NaN for 0, as IEEE has it."""
     if integers:
-        whole = a.cast("long") - a.cast("long") % b.cast("long")
-        return (whole / b.cast("long")).cast("long")
+        return F.call_function("div", a.cast("long"), b.cast("long"))
     inf = F.lit(float("inf"))
     zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, inf).otherwise(-inf)
     return F.when(b == 0, F.when(a.isNotNull(), zero)).otherwise(a / b)
@@ -70,11 +69,15 @@ def row_from_map(m: Column, keys: list, names: list[str], default: Column | None
     return F.struct(*[(pick(k) if default is None else F.coalesce(pick(k), default)).alias(n) for k, n in zip(keys, names, strict=True)])
 
 
-#: Presto name -> Spark SQL name, where only the name differs.
-RENAMED = {
-    "array_agg": "collect_list", "set_agg": "collect_set", "arbitrary": "any_value", "approx_distinct": "approx_count_distinct", "bitwise_and_agg": "bit_and", "bitwise_or_agg": "bit_or",
-    "bitwise_xor_agg": "bit_xor", "contains": "array_contains", "strpos": "position", "levenshtein_distance": "levenshtein", "json_extract_scalar": "get_json_object",
-    "codepoint": "ascii", "from_hex": "unhex", "to_hex": "hex", "to_base64": "base64", "from_base64": "unbase64", "is_nan": "isnan", "day_of_month": "day", "day_of_year": "dayofyear",
-    "week_of_year": "weekofyear", "any_match": "exists", "all_match": "forall", "reduce": "aggregate", "zip": "arrays_zip", "starts_with": "startswith", "ends_with": "endswith",
-    "regexp_split": "split", "last_day_of_month": "last_day", "from_iso8601_date": "to_date", "from_iso8601_timestamp": "to_timestamp", 
-}
+def dereference(df: DataFrame, struct: str, field: str | int) -> Column:
+    """A field of a struct column by name, or by its place from 0."""
+    names = df.select(struct).schema[0].dataType.names
+    if isinstance(field, int) and not 0 <= field < len(names):
+        raise ValueError(f"{struct} has no field {field}")
+    return F.col(struct).getField(names[field] if isinstance(field, int) else field)
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, name: str = "histogram") -> DataFrame:
+    """For each keys a map from value to how often it occurs; counted in two steps, so a map holds distinct values only."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(value, "n"))).alias(name))

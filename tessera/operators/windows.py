@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .builder import sort_key
+from .builder import free_name, sort_key
 
 
 def groups_frame(df: DataFrame, function: Column, name: str, partition: list[str], order: list[str], first: int | None, last: int | None) -> DataFrame:
@@ -14,6 +14,7 @@ def groups_frame(df: DataFrame, function: Column, name: str, partition: list[str
     first and last count groups of peers from the current one, negative before it; None is unbounded.
     """
     w = Window.partitionBy(*partition)
-    numbered = df.withColumn("_peer", F.dense_rank().over(w.orderBy(*map(sort_key, order))))
+    peer = free_name(df, "_peer")
+    numbered = df.withColumn(peer, F.dense_rank().over(w.orderBy(*map(sort_key, order))))
     lo, hi = Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last
-    return numbered.withColumn(name, function.over(w.orderBy("_peer").rangeBetween(lo, hi))).drop("_peer")
+    return numbered.withColumn(name, function.over(w.orderBy(peer).rangeBetween(lo, hi))).drop(peer)

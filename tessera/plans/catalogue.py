@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tessera.functions import presto
 from tessera.operators.builder import Plan
 from tessera.operators.windows import groups_frame
-from tessera.session import load_tables, table
+from tessera.plans.families import FAMILIES
+from tessera.session import configure, load_tables, table
 from tessera.sources.statistics import column_stats
+from tessera.sql.presto import query
 
 _V = "(values (1, 'a'), (2, 'b'), (2, 'b'), (cast(null as int), 'c'), (3, null), (cast(null as int), null)) v(k, s)"
 _W = "(values (2, 'b'), (3, null), (4, 'd'), (cast(null as int), null)) w(k, s)"
@@ -119,7 +121,6 @@ SAME = {
     "fn_string": "select p_partkey, upper(p_name) as u, length(p_name) as n, substr(p_name, 2, 3) as s, replace(p_name, 'a', '_') as r, reverse(p_name) as v, lpad(p_brand, 10, '*') as l, rpad(p_type, 9, '.') as rp, trim('  x ') as t, split_part(p_name, ' ', 2) as sp, concat(p_brand, '/', p_type) as c, p_brand || p_type as cc, levenshtein(p_name, p_type) as lev from part",
     "fn_math": "select p_partkey, abs(-p_size) as a, round(sqrt(p_size), 8) as q, round(power(p_size, 2), 4) as w, round(ln(p_size + 1), 8) as l, round(exp(p_size / 100.0e0), 8) as e, greatest(p_size, 10) as g, least(p_size, 10) as m, cast(sign(p_size - 10) as int) as s, round(degrees(radians(45.0e0)), 6) as d from part",
     "fn_date_parts": "select o_orderkey, year(o_orderdate) as y, quarter(o_orderdate) as q, month(o_orderdate) as m, day(o_orderdate) as d, hour(o_orderdate) as h, dayofyear(o_orderdate) as doy, weekofyear(o_orderdate) as w from orders",
-    "fn_hash": "select p_partkey, md5(p_name) as m from part",
     # TPC-H shapes
     "tpch_q1": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, " + _REV + " as sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp_ntz '1998-09-02' group by l_returnflag, l_linestatus",
     "tpch_q3": f"select l_orderkey, {_REV} as revenue, o_orderdate from customer, orders, lineitem where c_mktsegment = 'BUILDING' and c_custkey = o_custkey and l_orderkey = o_orderkey and o_orderdate < timestamp_ntz '1998-03-15' and l_shipdate > timestamp_ntz '1998-03-15' group by l_orderkey, o_orderdate order by revenue desc, l_orderkey limit 10",
@@ -148,10 +149,10 @@ SAME = {
 }
 
 
-def _same(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _presto(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        load_tables(spark, sf_dir)
-        return spark.sql(text)
+        load_tables(configure(spark), sf_dir, text=text)
+        return query(spark, text)
 
     return run
 
@@ -328,19 +329,37 @@ def fn_interval(spark, sf_dir):
     return Plan(table(spark, sf_dir, "orders")).project("o_orderkey", *[f"cast(o_orderdate {i} as date) as {c}" for i, c in (("+ interval 1 month", "m"), ("+ interval 1 year", "y"), ("- interval 90 days", "d"))]).build()
 
 
-@built(None)
+@built("select event_type, true as users, true as median from events group by event_type")
 def agg_approx_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
+    """Whether the estimates are near the exact values."""
+    events = Plan(table(spark, sf_dir, "events"))
+    near = "abs(approx_count_distinct(user_id) - count(distinct user_id)) <= 0.15 * count(distinct user_id) as users"
+    return events.aggregate(["event_type"], [near, "abs(percentile_approx(value, 0.5) - percentile(value, 0.5)) <= 0.05 * (max(value) - min(value)) as median"]).build()
 
 
-@built(None)
+@built("select true as near, count(*) as whole from orders")
 def tablesample(spark, sf_dir):
-    return Plan(table(spark, sf_dir, "orders")).sample(10).build()
+    """A tenth of the rows, give or take a third of it; 100 % is all."""
+    orders = Plan(table(spark, sf_dir, "orders"))
+    n, tenth = orders.aggregate([], ["count(*) as n"]), orders.sample(10).aggregate([], ["count(*) as k"])
+    whole = orders.sample(100).aggregate([], ["count(*) as whole"])
+    return n.cross_join(tenth).cross_join(whole).project("abs(k - n / 10) < n / 30 as near", "whole").build()
 
 
-@built(None)
+_STATS = "o_orderkey o_custkey o_orderstatus o_orderpriority".split()
+
+
+@built(
+    " union all ".join(
+        f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as nulls, min({c})::varchar as min, max({c})::varchar as max, true as distinct_near, round(avg(length({c}::varchar)), 6) as mean_length, max(length({c}::varchar))::int as max_length from orders"
+        for c in _STATS
+    )
+)
 def statistics(spark, sf_dir):
-    return column_stats(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
+    exact = orders.agg(F.map_from_arrays(F.array(*map(F.lit, _STATS)), F.array(*[F.count_distinct(c) for c in _STATS])).alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")[F.col("column")]) <= F.col("exact")[F.col("column")] * 0.15
+    return column_stats(orders, _STATS).crossJoin(exact).select("column", "rows", "nulls", "min", "max", near.alias("distinct_near"), F.round("mean_length", 6).alias("mean_length"), "max_length")
 
 
 @built("select 'r_regionkey' as col_name, 'int' as data_type union all select 'r_name', 'string'")
@@ -349,6 +368,202 @@ def show_columns(spark, sf_dir):
     return spark.sql("describe region").select("col_name", "data_type")
 
 
+
+@built("select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, sum(o_custkey) over (partition by o_orderpriority order by o_orderkey rows between 2 preceding and current row)::bigint as s from orders")
+def builder_window(spark, sf_dir):
+    plan = Plan(table(spark, sf_dir, "orders")).window("row_number()", "rn", ["o_custkey"], ["o_totalprice desc", "o_orderkey"])
+    return plan.window("sum(o_custkey)", "s", ["o_orderpriority"], ["o_orderkey"], ("rows", -2, 0)).project("o_orderkey", "rn", "s").build()
+
+
+@built("select p_partkey from part where p_retailprice > (select avg(p_retailprice) from part)")
+def builder_scalar_subquery(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    mean = Plan(part).aggregate([], ["avg(p_retailprice) as m"]).scalar()
+    return Plan(part).filter(F.col("p_retailprice") > mean).project("p_partkey").build()
+
+
+@built("select r_name from region where exists (select 1 from nation where n_regionkey = r_regionkey and n_nationkey > 22)")
+def builder_exists(spark, sf_dir):
+    nation = Plan(table(spark, sf_dir, "nation")).filter((F.col("n_regionkey") == F.col("r_regionkey").outer()) & (F.col("n_nationkey") > 22))
+    return Plan(table(spark, sf_dir, "region")).filter(nation.exists()).project("r_name").build()
+
+
+@built("select k, (k in (2, 3, null)) as has, (k in (2, 4)) as two from (values (1), (2), (null)) t(k)")
+def builder_in_join(spark, sf_dir):
+    rows = Plan.values(spark, [(1,), (2,), (None,)], "k int")
+    withnull, plain = Plan.values(spark, [(2,), (3,), (None,)], "k int"), Plan.values(spark, [(2,), (4,)], "k int")
+    return rows.in_join(withnull, "k", "k", "has").in_join(plain, "k", "k", "two").build()
+
+
+@built("select n_nationkey, n_name, n_regionkey + 1 as up, length(n_name) as len from nation")
+def builder_with(spark, sf_dir):
+    return Plan(table(spark, sf_dir, "nation")).project("n_nationkey", "n_name", "n_regionkey").with_("n_regionkey + 1 as up", "length(n_name) as len").project("n_nationkey", "n_name", "up", "len").build()
+
+
+@built("select a.n_name as x, b.n_name as y from nation a join nation b on a.n_nationkey = b.n_regionkey and b.n_nationkey > 10")
+def builder_as(spark, sf_dir):
+    nation = Plan(table(spark, sf_dir, "nation"))
+    return nation.as_("a").join(nation.as_("b"), "a.n_nationkey = b.n_regionkey and b.n_nationkey > 10").project("a.n_name as x", "b.n_name as y").build()
+
+
+@built("select n_name, r_name from nation, region where n_regionkey = r_regionkey and r_regionkey < 2")
+def builder_from(spark, sf_dir):
+    load_tables(spark, sf_dir, ["nation", "region"])
+    return Plan.from_(spark, ["nation", "region"]).filter("n_regionkey = r_regionkey and r_regionkey < 2").project("n_name", "r_name").build()
+
+
+@built("(select n_regionkey as k from nation where n_nationkey < 9 union select r_regionkey + 3 from region) except (select 4)")
+def builder_set_operations(spark, sf_dir):
+    a = Plan(table(spark, sf_dir, "nation")).filter("n_nationkey < 9").project("n_regionkey as k")
+    b = Plan(table(spark, sf_dir, "region")).project("r_regionkey + 3 as k")
+    return a.set_operation("union", b).set_operation("except", Plan.values(spark, [(4,)], "k int")).build()
+
+
+@built("select * from (values (1, 10, 'p', 'p'), (2, 20, 'q', 'q')) t(id, x, y, z)")
+def dereference_by_place(spark, sf_dir):
+    df = Plan.values(spark, [(1, (10, "p")), (2, (20, "q"))], "id int, s struct<x: int, y: string>").build()
+    return df.select("id", presto.dereference(df, "s", 0).alias("x"), presto.dereference(df, "s", 1).alias("y"), presto.dereference(df, "s", "y").alias("z"))
+
+
+@built("select * from (values (1, 10, 'p'), (1, 11, 'q'), (2, 20, null)) t(id, x, y)")
+def flatten_rows(spark, sf_dir):
+    rows = [(1, [(10, "p"), (11, "q")]), (2, [(20, None)]), (3, []), (4, None)]
+    return Plan.values(spark, rows, "id int, r array<struct<a: int, b: string>>").flatten_rows("r", ["x", "y"]).project("id", "x", "y").build()
+
+
+@built("select * from (values (7, [1, 2], 0), (8, []::int[], 1)) t(x, a, n)")
+def padded_row_of_collections(spark, sf_dir):
+    df = Plan.values(spark, [(7, {"k": [1, 2]}, {}), (8, {"z": [3]}, {"m": {"q": 1}})], "x int, m map<string, array<int>>, o map<string, map<string, int>>").build()
+    row = presto.row_from_map(F.col("m"), ["k"], ["a"], F.array().cast("array<int>"))
+    inner = presto.row_from_map(F.col("o"), ["m"], ["i"], F.create_map().cast("map<string,int>"))
+    return df.select("x", row["a"].alias("a"), F.size(inner["i"]).alias("n"))
+
+
+@built("select o_orderstatus, o_orderpriority as p, count(*) as n from orders group by all")
+def agg_histogram_two_steps(spark, sf_dir):
+    maps = presto.histogram(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority", "h")
+    return Plan(maps).unnest("h", names=["p", "n"]).project("o_orderstatus", "p", "n").build()
+
+
+@built("select * from (values ('F', 'c,b,a'), ('O', 'b,a')) t(g, v)")
+def agg_array_distinct_filter(spark, sf_dir):
+    rows = Plan.values(spark, [("F", "a", 1), ("F", "c", 3), ("F", "a", 1), ("F", "b", 2), ("F", "z", -1), ("O", "a", 1), ("O", "b", 5)], "g string, v string, k int")
+    ordered = presto.array_agg_ordered(F.col("v"), (F.col("k"), True), distinct=True, where=F.col("k") > 0)
+    return rows.aggregate(["g"], [F.array_join(ordered, ",").alias("v")]).build()
+
+
+@built("select n_name, label from nation join (values (0, 'zero'), (3, 'three')) m(k, label) on n_regionkey = k")
+def scan_several_connectors(spark, sf_dir):
+    from tessera.session import Session
+    from tessera.sources.connectors import FolderConnector, MemoryConnector
+    from tessera.sources.tables import TableName
+
+    session, memory = Session(spark), MemoryConnector(spark)
+    session.add("folder", FolderConnector(spark, sf_dir))
+    session.add("memory", memory)
+    rows = spark.createDataFrame([(0, "zero"), (3, "three")], "k int, label string")
+    memory.create(TableName.parse("m"), rows.schema)
+    memory.append(TableName.parse("m"), rows)
+    return session.sql("select n_name, label from folder.default.nation join memory.default.m on n_regionkey = k")
+
+
+@built("select count(*) as n, min(r_name) as first from region")
+def scan_tpch_connector(spark, sf_dir):
+    from tessera.session import Session
+    from tessera.sources.connectors import TpchConnector
+
+    session = Session(spark)
+    session.add("tpch", TpchConnector(spark, sf_dir.rsplit("/", 1)[0]))
+    return session.sql('select count(*) as n, min(r_name) as first from tpch."sf0.001".region')
+
+
+@built("select n_nationkey * 2 + 1 as a, upper(n_name) as b, n_nationkey + n_regionkey as c, length(n_name) as d from nation")
+def user_functions(spark, sf_dir):
+    from tessera.functions import registry
+
+    registry.register_vectorized(spark, "genie_twice", lambda x: x * 2 + 1, "long")
+    registry.register_simple(spark, "genie_sum", lambda *x: sum(x), "long")
+    registry.register_rewrite("shout", "upper({0})")
+    registry.register_rewrite("size_of", lambda a, types: f"length({a[0]})" if types and types[0].simpleString() == "string" else f"cardinality({a[0]})")
+    load_tables(configure(spark), sf_dir, ["nation"])
+    return query(spark, "select genie_twice(n_nationkey) as a, shout(n_name) as b, genie_sum(n_nationkey, n_regionkey) as c, size_of(n_name) as d from nation")
+
+
+@built("select n_regionkey as k, max(n_nationkey) - min(n_nationkey) as spread from nation group by n_regionkey")
+def user_aggregate(spark, sf_dir):
+    from tessera.functions import registry
+
+    registry.register_aggregate(spark, "spread", lambda x: int(x.max() - x.min()), "int")
+    load_tables(configure(spark), sf_dir, ["nation"])
+    return query(spark, "select n_regionkey as k, spread(n_nationkey) as spread from nation group by n_regionkey")
+
+
+@built("select * from (values (1, 'a'), (2, 'b'), (2, 'b')) t(n, s)")
+def user_table_function(spark, sf_dir):
+    from tessera.functions import registry
+
+    class Repeat:
+        def eval(self, text: str):
+            for n, s in enumerate(text, 1):
+                for _ in range(n):
+                    yield n, s
+
+    registry.register_table_function(spark, "repeated", Repeat, "n int, s string")
+    return query(spark, "select n, s from repeated('ab')")
+
+
+@built("select * from (values ('n_nationkey', 'int', true), ('n_name', 'string', true), ('n_regionkey', 'int', true)) t(column_name, data_type, nullable)")
+def show_columns_statement(spark, sf_dir):
+    from tessera.session import Session
+    from tessera.sources.connectors import FolderConnector
+
+    session = Session(spark)
+    session.add("folder", FolderConnector(spark, sf_dir))
+    return session.sql("show columns from nation")
+
+
+@built("select n_nationkey as k, case when n_nationkey = 3 then 'three' else n_name end as s from nation where n_nationkey between 2 and 8 union all select 99, null")
+def write_insert_update_delete(spark, sf_dir):
+    """A table made, added to, changed and thinned by statements; read whole, then dropped."""
+    import uuid
+
+    from tessera.session import Session
+    from tessera.sources.connectors import FolderConnector
+
+    session, name = Session(spark), f"t_{uuid.uuid4().hex}"
+    session.add("folder", FolderConnector(spark, sf_dir))
+    session.sql(f"create table {name} with (file_format = 'parquet') as select n_nationkey as k, n_name as s from nation where n_nationkey < 5")
+    session.sql(f"insert into {name} select n_nationkey, n_name from nation where n_nationkey between 5 and 8")
+    session.sql(f"insert into {name} (k) values (99)")
+    session.sql(f"update {name} set s = 'three' where k = 3")
+    session.sql(f"delete from {name} where k < 2")
+    rows = [tuple(r) for r in spark.table(name).collect()]
+    session.sql(f"drop table {name}")
+    return spark.createDataFrame(rows, "k int, s string")
+
+
+@built("select id, part, bucket from (values (1, 'a', 0), (2, 'a', 12), (3, 'b', null)) t(id, part, bucket)")
+def read_partitions_and_buckets(spark, sf_dir):
+    """A folder with partition folders, hidden files and bucket numbers in file names."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.sources.connectors import bucket_of
+    from tessera.sources.tables import read_layout
+
+    root = Path(tempfile.mkdtemp())
+    for part, file, value in (("a", "000000_0.parquet", 1), ("a", "000012_0.parquet", 2), ("b", "data.parquet", 3), ("b", ".hidden.parquet", 4), ("b", "_skipped.parquet", 5)):
+        (root / f"part={part}").mkdir(exist_ok=True)
+        pq.write_table(pa.table({"id": pa.array([value], pa.int32())}), root / f"part={part}" / file)
+    rows = [tuple(r) for r in read_layout(spark, str(root)).select("id", "part", bucket_of(F.input_file_name()).alias("bucket")).collect()]
+    shutil.rmtree(root)
+    return spark.createDataFrame(rows, "id int, part string, bucket int")
+
+
 #: Columns that are INTEGER in Spark and BIGINT (or wider) in DuckDB, by query: the SQL casts them.
 WIDTHS = {
     "win_row_number": {"rn": "int"}, "win_rank_dense": {"r": "int", "d": "int"}, "win_ntile": {"t": "int"}, "win_over_aggregate": {"r": "int"}, "tpch_q12": {"high": "bigint"},
@@ -362,5 +577,5 @@ def _oracle(name: str, text: str) -> str:
     return f"select * replace ({casts}) from ({text})" if casts else text
 
 
-QUERIES = {k: _same(v) for k, v in SAME.items()} | {k: f for k, (f, _) in BUILT.items()}
-ORACLE = {k: _oracle(k, v) for k, v in SAME.items()} | {k: s for k, (_, s) in BUILT.items() if s}
+QUERIES = {k: _presto(v.replace(" div ", " / ").replace("timestamp_ntz '", "timestamp '")) for k, v in SAME.items()} | {k: _presto(p) for k, (p, _) in FAMILIES.items()} | {k: f for k, (f, _) in BUILT.items()}
+ORACLE = {k: _oracle(k, v) for k, v in SAME.items()} | {k: d for k, (_, d) in FAMILIES.items()} | {k: s for k, (_, s) in BUILT.items() if s}

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -75,7 +78,7 @@ class WriteSession:
             raise ValueError(f"Table {name} already exists")
         if kind == "INSERT" and not exists(spark, name):
             raise ValueError(f"Table {name} does not exist")
-        self.spark, self.name, self.kind, self.layout, self.frames = spark, name, kind, layout, []
+        self.spark, self.name, self.kind, self.layout, self.frames, self.made = spark, name, kind, layout, [], False
 
     def write(self, df: DataFrame) -> None:
         self.frames.append(df)
@@ -92,25 +95,32 @@ class WriteSession:
 
     def finish(self) -> DataFrame:
         if self.kind == "INSERT":
-            for df in self.frames:
-                df.select(*self.spark.table(self.name).columns).write.insertInto(self.name)
+            columns = self.spark.table(self.name).columns
+            if self.frames:
+                reduce(DataFrame.union, [df.select(*columns) for df in self.frames]).write.insertInto(self.name)
             return self.spark.table(self.name)
         rows = self.frames or [self.spark.createDataFrame([], self.layout.schema)]
         whole = rows[0]
         for df in rows[1:]:
             whole = whole.unionByName(df)
         whole = whole.select(*[whole[f.name].cast(f.dataType) for f in self.layout.schema])
+        if exists(self.spark, self.name):
+            raise ValueError(f"Table {self.name} already exists")
+        self.made = True
         try:
             self._writer(whole, self.layout).saveAsTable(self.name)
-        except Exception:
+        except Exception as e:
+            self.made = "TABLE_OR_VIEW_ALREADY_EXISTS" not in str(e)  # another session's table of that name stays
             self.abort()
             raise
         return self.spark.table(self.name)
 
     def abort(self) -> None:
+        """Forgets the frames; drops the table if this session made it."""
         self.frames = []
-        if self.kind == "CREATE":
+        if self.kind == "CREATE" and self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.made = False
 
 
 def create_table(spark: SparkSession, name: str, df: DataFrame, options: dict | None = None) -> DataFrame:
@@ -119,6 +129,35 @@ def create_table(spark: SparkSession, name: str, df: DataFrame, options: dict |
     return session.finish()
 
 
+def _replace(spark: SparkSession, name: str, rows: DataFrame) -> None:
+    """The table's rows become rows, which may be read from the table: they are written beside it first."""
+    copy = f"{name}_{uuid.uuid4().hex}"
+    rows.write.format("parquet").saveAsTable(copy)
+    try:
+        spark.table(copy).select(*spark.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "static").insertInto(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {copy}")
+
+
+def delete(spark: SparkSession, name: str, condition: str = "true") -> int:
+    """Takes out the rows for which the condition is true and gives their number."""
+    table = spark.table(name)
+    gone = table.where(condition).count()
+    if gone:
+        _replace(spark, name, table.where(f"NOT coalesce({condition}, false)"))
+    return gone
+
+
+def update(spark: SparkSession, name: str, values: dict[str, str], condition: str = "true") -> int:
+    """Sets columns where the condition is true and gives the number of rows."""
+    table = spark.table(name)
+    hit = table.where(condition).count()
+    if hit:
+        new = [F.expr(f"CASE WHEN {condition} THEN {values[f.name]} ELSE `{f.name}` END").cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in table.schema]
+        _replace(spark, name, table.select(*new))
+    return hit
+
+
 def read_layout(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A folder of files, k=v folders below it being partition columns; the widest schema wins and hidden files are skipped."""
     reader = spark.read.format(fmt).option("basePath", path)
