@@ -153,9 +153,9 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     several = lambda rows: rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "c0")
     open_ = named.join(several(named).select("key"), "key").select("key", "fp", "c")
     finer = materialize(open_.mapInArrow(_finer, "key long, fp long, c long"), "finer")
-    named = finer.join(several(finer), "key")
-    others = named.where("c <> c0").select("key", F.col("fp").alias("other"), F.col("c").alias("oc"))
-    cross = others.join(named.select("key", "fp", "c"), (others["key"] == named["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
+    mixed = several(finer).withColumnRenamed("key", "mixed")
+    others = finer.join(mixed, (F.col("key") == F.col("mixed")) & (F.col("c") != F.col("c0"))).select("key", F.col("fp").alias("other"), F.col("c").alias("oc"))
+    cross = others.join(finer, (others["key"] == finer["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
     cross = materialize(cross.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct(), "cross")
     second = connected_components(cross, "second")
     merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")

@@ -251,7 +251,9 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, with_text: bool = False,
 
     A word goes if any window of k words over it also starts in a document with a smaller doc_id; windows are judged on
     the input. Null text has no words; texts of fewer than k words are kept; rows without doc_id keep all their words and
-    take none from others; repeated rows with one doc_id do not affect one another. Other columns are not read.
+    take none from others; repeated rows with one doc_id do not affect one another, and of equal texts the one with the least
+    doc_id keeps its words. Texts may be of any length: memory follows the longest. Other columns are not read; an empty
+    table gives no rows.
     """
     found = materialize(repeated_windows(docs, k, buckets, rounds), "windows")
     found = found.groupBy("doc_id", "fid").agg(F.collect_list("data").alias("found"))
