@@ -77,6 +77,12 @@ def dereference(df: DataFrame, struct: str, field: str | int) -> Column:
     return F.col(struct).getField(names[field] if isinstance(field, int) else field)
 
 
+def map_as_struct(df: DataFrame, column: str, keys: list, names: list[str] | None = None) -> DataFrame:
+    """A map column as a struct of known keys, each looked up once; names are k<key> unless given."""
+    names = names or [f"k{k}" for k in keys]
+    return df.withColumn(column, row_from_map(F.col(column), keys, names))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, name: str = "histogram") -> DataFrame:
     """For each keys a map from value to how often it occurs; counted in two steps, so a map holds distinct values only."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -542,6 +542,131 @@ def write_insert_update_delete(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, s string")
 
 
+def _true(spark: SparkSession, **facts: bool) -> DataFrame:
+    return spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} boolean" for k in facts))
+
+
+@built("select count(*) as scanned, count(*) filter (where o_totalprice > 100000) as passed, count(distinct o_custkey) > 0 as some, min(o_orderkey)::varchar as lo from orders where o_totalprice > 100000 or o_totalprice <= 100000")
+def sample_with_statistics(spark, sf_dir):
+    """A sample of everything, so that its counts are exact."""
+    from tessera.sources.statistics import sample_statistics
+
+    orders = table(spark, sf_dir, "orders")
+    scanned, passed, stats = sample_statistics(orders, "o_totalprice > 100000", ["o_custkey", "o_orderkey"], 100)
+    some = stats.where("column = 'o_custkey'").first()["distinct"] > 0
+    lo = orders.agg(F.min("o_orderkey").cast("string")).first()[0]
+    return spark.createDataFrame([(scanned, passed, some, lo)], "scanned long, passed long, some boolean, lo string")
+
+
+@built("select n_nationkey as k, n_name as s from nation where n_nationkey > 20")
+def write_filtered(spark, sf_dir):
+    from tessera.sources.connectors import MemoryConnector
+    from tessera.sources.tables import TableName
+
+    memory, name = MemoryConnector(spark), TableName("u")
+    rows = Plan(table(spark, sf_dir, "nation")).filter("n_nationkey > 20").project("n_nationkey as k", "n_name as s").build()
+    memory.create(name, rows.schema)
+    memory.append(name, rows)
+    return memory.table(name)
+
+
+@built("select true as filters, true as merged, true as pruned")
+def scan_pushdown(spark, sf_dir):
+    """Filters of one column as a range, and the columns in use, reach the Parquet scan."""
+    from tessera.operators.explain import plan_text
+
+    load_tables(configure(spark), sf_dir, ["lineitem"])
+    text = plan_text(query(spark, "select l_orderkey from lineitem where l_quantity > 2 and l_quantity < 10 and l_quantity >= 3"), "executable")
+    return _true(spark, filters="PushedFilters: [" in text and "l_quantity" in text.split("PushedFilters")[1].split("ReadSchema")[0], merged="LessThan(l_quantity,10" in text, pruned="ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text)
+
+
+@built("select 3 as expr, 'x' as expr_0, r_regionkey from region")
+def output_names(spark, sf_dir):
+    load_tables(configure(spark), sf_dir, ["region"])
+    return query(spark, "select 1 + 2, 'x', r_regionkey from region")
+
+
+@built("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 250000)")
+def join_right_semi(spark, sf_dir):
+    """A semi join whose filtered side is the larger one and is hashed."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return customer.hint("shuffle_hash").join(orders.where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@built("select n_name, s_suppkey, true as hashed_left from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 5000")
+def join_build_left(spark, sf_dir):
+    """A left join that hashes its left side."""
+    from tessera.operators.explain import plan_text
+
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    joined = nation.hint("shuffle_hash").join(supplier, (F.col("s_nationkey") == F.col("n_nationkey")) & (F.col("s_acctbal") > 5000), "left")
+    return joined.select("n_name", "s_suppkey", F.lit("BuildLeft" in plan_text(joined, "executable")).alias("hashed_left"))
+
+
+@built("select * from (values (7, 10, 20), (8, null, null), (9, null, null), (10, null, null), (10, null, null)) t(x, ka, kb)")
+def map_as_struct(spark, sf_dir):
+    return presto.map_as_struct(nest(spark).build(), "m", ["a", "b"]).select("x", "m.ka", "m.kb")
+
+
+@built("select n_nationkey as a, n_name as b from nation")
+def exploding_function(spark, sf_dir):
+    """Only the arguments that the fields in use hang on are computed."""
+    from tessera.functions import registry
+
+    made = registry.register_rewrite("genie", "named_struct('a', {0}, 'b', {1}, 'c', {2})", registry.Metadata(paths={"a": 0, "b": 1, "c": 2}, explode=True))
+    load_tables(configure(spark), sf_dir, ["nation"])
+    columns = registry.exploded("genie", made.metadata, ["n_nationkey", "n_name", "n_nationkey / 0"], ["a", "b"])
+    return query(spark, f"select {', '.join(columns)} from nation")
+
+
+@built("select true as logical, true as optimized, true as executable, true as cost, true as measured")
+def explain_kinds(spark, sf_dir):
+    from tessera.operators.explain import analyze, estimates, skeleton, summary
+
+    load_tables(configure(spark), sf_dir, ["nation", "region"])
+    df = query(spark, "select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by r_name")
+    return _true(
+        spark, logical=skeleton(df).startswith("Aggregate"), optimized="Join: 1" in summary(df, "optimized"), executable="HashAggregate" in skeleton(df, "executable"),
+        cost="Statistics(" in estimates(df), measured="numOutputRows=25" in analyze(df),
+    )
+
+
+@built("select count(*) as rows, 'finished' as state from orders")
+def runner_batches(spark, sf_dir):
+    from tessera.runner import Runner
+
+    run = Runner(table(spark, sf_dir, "orders").select("o_orderkey"), batch=500)
+    rows = run.wait()
+    return spark.createDataFrame([(rows, run.state)], "rows long, state string")
+
+
+@built("select n_nationkey, n_name, n_regionkey from nation")
+def format_orc(spark, sf_dir):
+    """A table written as ORC by the two-phase write and read back."""
+    import uuid
+
+    from tessera.sources.tables import create_table
+
+    name = f"t_{uuid.uuid4().hex}"
+    rows = [tuple(r) for r in create_table(spark, name, table(spark, sf_dir, "nation"), {"file_format": "orc"}).collect()]
+    spark.sql(f"drop table {name}")
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@built("select true as plan, true as rows, true as checked")
+def golden_files(spark, sf_dir):
+    """What --record keeps of a query is what --check finds again."""
+    from tessera.cli import outcome
+    from tessera.session import Session
+    from tessera.sources.connectors import FolderConnector
+
+    session = Session(spark)
+    session.add("folder", FolderConnector(spark, sf_dir))
+    text = "select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by r_name"
+    kept = outcome(session, text, 100)
+    return _true(spark, plan=kept["plan"].startswith("Aggregate"), rows=len(kept["rows"]) == 5, checked=outcome(session, text, 100) == kept)
+
+
 @built("select id, part, bucket from (values (1, 'a', 0), (2, 'a', 12), (3, 'b', null)) t(id, part, bucket)")
 def read_partitions_and_buckets(spark, sf_dir):
     """A folder with partition folders, hidden files and bucket numbers in file names."""

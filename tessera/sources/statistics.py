@@ -32,6 +32,20 @@ def sample_selectivity(df: DataFrame, condition: str | Column, percent: float =
     return row["n"], row["k"]
 
 
+def sample_statistics(df: DataFrame, condition: str | Column, columns: list[str], percent: float = 1.0, seed: int = 7) -> tuple[int, int, DataFrame]:
+    """(scanned, passed, statistics of the columns over the rows that passed) over a sample of so many percent.
+
+    distinct is carried on to the whole: rows stands for all rows that pass.
+    """
+    scanned, passed = sample_selectivity(df, condition, percent, seed)
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    stats = column_stats(df.sample(percent / 100, seed).where(condition), columns)
+    whole = max(passed, round(passed * 100 / percent))
+    few = F.col("distinct") * 50 <= F.col("rows")
+    scaled = F.when(few | (F.col("rows") == 0), F.col("distinct")).otherwise(F.least(F.lit(whole), F.round(F.col("distinct") * (100 / percent)).cast("long")))
+    return scanned, passed, stats.withColumn("distinct", scaled)
+
+
 def estimate_distinct(sampled: int, distinct: int, rows: int, low: float | None = None, high: float | None = None) -> int:
     """Distinct values of the whole from a sample's: kept if few (under a fiftieth), else scaled, within rows and range."""
     if sampled <= 0:
