@@ -5,6 +5,7 @@ What is registered here can be called in Presto SQL and, by its name, in Spark S
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -78,6 +79,19 @@ def register_simple(spark: SparkSession, name: str, function: Callable, returns:
     return out
 
 
+def register_normalize(spark: SparkSession) -> None:
+    """normalize(text [, form]): Unicode normal forms, NFC unless another is named."""
+
+    def normal(text, form=None):
+        import pandas as pd
+
+        forms = form if form is not None else pd.Series(["NFC"] * len(text))
+        return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, forms, strict=True)])
+
+    spark.udf.register("unicode_normalize", F.pandas_udf(normal, "string", F.PandasUDFType.SCALAR))
+    register_rewrite("normalize", lambda a, types: f"unicode_normalize({', '.join(a)})")
+
+
 def register_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
     """A class whose eval yields rows, callable in FROM."""
     spark.udtf.register(name, F.udtf(handler, returnType=returns))

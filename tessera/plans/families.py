@@ -67,6 +67,7 @@ FAMILIES: dict[str, tuple[str, str]] = {
         "select p_partkey, regexp_matches(p_name, '^s.*g$') as a, regexp_extract(p_name, '[a-z]+$') as b, null::varchar as c, array_to_string(regexp_extract_all(p_name, '[aeiou]'), ',') as d, regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) as e, "
         "array_to_string(regexp_split_to_array(p_name, '[ae]'), '|') as f, len(regexp_extract_all(p_name, '[aeiou]')) as g, regexp_replace(p_name, ' ', '', 'g') as h from part",
     ),
+    "fn_normalize": ("select normalize('e\u0301') = 'é' as c, length(normalize('é', 'NFD')) as d", "select true as c, 2 as d"),
     # numbers
     "fn_math_more": (
         "select i, d, ceil(d) as a, floor(d) as b, round(cbrt(27e0), 6) as c, log2(8e0) as e, log10(1000e0) as f, truncate(d) as g, round(sin(1e0), 8) as h, round(atan2(1e0, 2e0), 8) as k, is_nan(nan()) as l, is_finite(d) as m, is_infinite(infinity()) as n, width_bucket(5e0, 0e0, 10e0, 4) as o, "

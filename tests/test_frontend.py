@@ -31,10 +31,15 @@ def rows(df):
 
 @pytest.mark.parametrize("text", ["select", "select 1 from", "select a b c from t", "selec 1", "select 1 where (", "select 'open", "select * from t group", "select f(1"])
 def test_bad_text_is_an_error(spark, text):
-    with pytest.raises((PrestoError, IndexError)):
+    with pytest.raises(PrestoError, match=r"^line 1:\d+: "):
         translate(spark, text)
 
 
+def test_errors_say_where(spark):
+    with pytest.raises(PrestoError, match="^line 2:6: "):
+        translate(spark, "select 1\nfrom ) as t")
+
+
 def test_division_keeps_whole_numbers_whole(session):
     assert rows(session.sql("select 9007199254740993 / 1, 7 / 2, -7 / 2, 7 / 2e0, (select count(*) from nation) / 10, sum(n_nationkey) / count(*) from nation"))[0] == (9007199254740993, 3, -3, 3.5, 2, 12)
     assert rows(session.sql("select transform(array[7, 8], x -> x / 2), reduce(array[7, 9], 0, (a, x) -> a + x / 2, a -> a / 2)"))[0] == ([3, 4], 3)
