@@ -1,7 +1,8 @@
 """The engine's queries by operator family, with the DuckDB SQL that each must agree with.
 
-SAME holds text that both engines run (whole-number division is written div, and timestamps timestamp_ntz); BUILT holds
-queries made with the plan builder or DataFrame calls, each with its own SQL.
+SAME holds text that both engines run but for the spelling of whole-number division and timestamps (div, timestamp_ntz here);
+the families hold text in Presto's spelling beside DuckDB's. Both run through the Presto translator. BUILT holds queries made
+with the plan builder, DataFrame calls or statements, each with its own SQL.
 """
 
 from __future__ import annotations
@@ -669,23 +670,25 @@ def golden_files(spark, sf_dir):
 
 @built("select id, part, bucket from (values (1, 'a', 0), (2, 'a', 12), (3, 'b', null)) t(id, part, bucket)")
 def read_partitions_and_buckets(spark, sf_dir):
-    """A folder with partition folders, hidden files and bucket numbers in file names."""
-    import shutil
-    import tempfile
-    from pathlib import Path
-
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+    """A folder, in the warehouse, with partition folders, hidden files and bucket numbers in file names."""
+    import uuid
 
     from tessera.sources.connectors import bucket_of
     from tessera.sources.tables import read_layout
 
-    root = Path(tempfile.mkdtemp())
-    for part, file, value in (("a", "000000_0.parquet", 1), ("a", "000012_0.parquet", 2), ("b", "data.parquet", 3), ("b", ".hidden.parquet", 4), ("b", "_skipped.parquet", 5)):
-        (root / f"part={part}").mkdir(exist_ok=True)
-        pq.write_table(pa.table({"id": pa.array([value], pa.int32())}), root / f"part={part}" / file)
-    rows = [tuple(r) for r in read_layout(spark, str(root)).select("id", "part", bucket_of(F.input_file_name()).alias("bucket")).collect()]
-    shutil.rmtree(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = f"{spark.conf.get('spark.sql.warehouse.dir')}/layout-{uuid.uuid4().hex}"
+    files = path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        for part, file, value in (("a", "000000_0.parquet", 1), ("a", "000012_0.parquet", 2), ("b", "data.parquet", 3), ("b", ".hidden.parquet", 4), ("b", "_skipped.parquet", 5)):
+            made = f"{root}/made"
+            spark.range(value, value + 1, 1, 1).selectExpr("cast(id as int) as id").write.mode("overwrite").parquet(made)
+            files.mkdirs(path(f"{root}/part={part}"))
+            files.rename(files.globStatus(path(f"{made}/part-*.parquet"))[0].getPath(), path(f"{root}/part={part}/{file}"))
+            files.delete(path(made), True)
+        rows = [tuple(r) for r in read_layout(spark, root).select("id", "part", bucket_of(F.input_file_name()).alias("bucket")).collect()]
+    finally:
+        files.delete(path(root), True)
     return spark.createDataFrame(rows, "id int, part string, bucket int")
 
 
