@@ -1,15 +1,15 @@
 """Substring dedup: a count-min prefilter over 13-word windows, then exact grouping of the windows estimated repeated.
 
-Pass 1 sketches the windows of each task as sorted cell lists (two rows of CELLS counters, counts saturating at 2), which
-merge per range of cells into one bit a cell: counted at least twice. A count-min estimate is never too low, so a window
-whose cells are not both set is surely unique. Pass 2 reads the texts again and ships only windows estimated repeated.
-Within a task only the smallest document of a window goes on; later ones are already known to repeat, so a passage that a
-third of all documents hold costs one entry a task. The reducers group windows exactly (96 bits of hash) and name every
-window whose smallest document is another one. At last the named words go, document by document.
-
-The sketch has a fixed size (two bit maps of CELLS bits are broadcast: 64 MB). Inputs with more windows than CELLS are
-handled in rounds, each sketching and shipping an equal part of the hash space, so that memory stays fixed; give more cells
-where executors have the memory.
+The rows are written once with a number, in chunks of about CHUNK bytes. Pass 1 sketches each chunk: the sorted cells of its
+windows in DEPTH rows of counters, counts saturating at 2. The sketches merge by range of cells, each range in a task of its
+own, which holds one byte a cell and says for each chunk which of its cells count twice or more in all. A count-min
+estimate is never too low, so a window whose cells are not all among those is surely unique. Pass 2 reads the chunks with
+their cells and ships only windows estimated repeated. Within a chunk only the smallest document of a window goes on; later
+ones are already known to repeat. The reducers group windows exactly (96 bits of hash) and name every window whose smallest
+document is another one. At last the named words go, document by document.
+
+The counters grow with the input, at least two for each window, and so does the number of ranges: a task's memory, and
+everything that is sent to the driver or to all executors, stays the same at every size, and the texts are read as often.
 """
 
 from __future__ import annotations
@@ -17,89 +17,116 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as V
-from .scratch import discard, materialize
+from .scratch import discard, materialize, settle
 
-WINDOW, CELL_BITS, DEPTH, RANGES = 13, 28, 2, 64
-#: Windows that a task holds at once before it ships what it has.
-CHUNK = 1 << 22
+WINDOW, DEPTH = 13, 2
+#: Bits of the cells in one range: a task holds a byte for each, and there are 2**RANGES_BITS ranges in a row where that allows it.
+LEAST_RANGE_BITS, MOST_RANGE_BITS, RANGES_BITS = 22, 27, 11
+#: Bytes of text and rows of a chunk; a longer text is a chunk of its own.
+CHUNK, CHUNK_ROW_BITS = 8 << 20, 20
 _SALT = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
-def _pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted whole numbers as one byte a gap; gaps of 255 and more go to a second list."""
+def range_bits(bits: int) -> int:
+    return min(bits, MOST_RANGE_BITS, max(LEAST_RANGE_BITS, bits - RANGES_BITS))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as gaps of two bytes, or four if one needs them; the first byte says which."""
     gaps = np.diff(values, prepend=np.zeros(1, values.dtype))
-    return np.minimum(gaps, 255).astype(np.uint8).tobytes(), gaps[gaps >= 255].astype("<u4").tobytes()
+    width = 2 if not len(gaps) or gaps.max() < 1 << 16 else 4
+    return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
 
 
-def _unpack(small: bytes, large: bytes) -> np.ndarray:
-    gaps = np.frombuffer(small, np.uint8).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(large, "<u4")
-    return np.cumsum(gaps)
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64))
 
 
-def _cells(hashes: np.ndarray, row: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS) if row == 0 else hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return ((hashes if row == 0 else V.mix(hashes ^ _SALT)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _round_of(hashes: np.ndarray, rounds: int) -> np.ndarray:
-    return (hashes >> np.uint64(30)) % np.uint64(rounds)
+def _number(most: int):
+    """(rid, doc_id, text): a number for each row, whose bits above CHUNK_ROW_BITS are its chunk's."""
 
+    def run(batches):
+        chunk, place, size = TaskContext.get().partitionId() << 24, 0, 0
+        for batch in batches:
+            lengths = np.diff(V.plain(batch.column(1))[0])
+            rids = np.empty(len(lengths), np.int64)
+            for i, n in enumerate(lengths.tolist()):
+                if place and (size + n > most or place >> CHUNK_ROW_BITS):
+                    chunk, place, size = chunk + 1, 0, 0
+                rids[i] = chunk << CHUNK_ROW_BITS | place
+                place, size = place + 1, size + n
+            yield pa.RecordBatch.from_arrays([pa.array(rids), batch.column(0), batch.column(1)], names=["rid", "doc_id", "text"])
 
-def _sketch_rows(hashes: np.ndarray):
-    width = 1 << CELL_BITS - RANGES.bit_length() + 1
-    rows = []
+    return run
+
+
+def _sketch_rows(chunk: int, hashes: np.ndarray, bits: int):
+    rows, wide = [], range_bits(bits)
     for row in range(DEPTH):
-        cells = np.sort(_cells(hashes, row))
+        cells = np.sort(_cells(hashes, row, bits))
         if len(cells) > 2:
             cells = cells[np.concatenate(([True, True], cells[2:] != cells[:-2]))]
-        cut = np.searchsorted(cells, np.arange(RANGES + 1) * width)
-        rows += [(row * RANGES + i, *_pack(cells[cut[i] : cut[i + 1]] - i * width)) for i in range(RANGES) if cut[i] < cut[i + 1]]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "small", "large"])
+        cut = np.append(np.flatnonzero(np.concatenate(([True], np.diff(cells >> wide) > 0))), len(cells))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            part = int(cells[a]) >> wide
+            rows.append((row, part, chunk, _pack(cells[a:b] - (part << wide))))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row", "part", "chunk", "cells"])
+
+
+_SKETCH = "row int, part long, chunk long, cells binary"
 
 
-def _sketch(k: int, rounds: int, turn: int):
+def _sketch(k: int, bits: int):
+    """The sketches of the chunks, or of the parts of them, that a task reads."""
+
     def run(batches):
-        held, n = [], 0
+        at, held = None, []
         for batch in batches:
-            for part in V.slices(batch.column(0)):
-                hashes = part.windows(part.hashes(), k)[1]
-                held.append(hashes if rounds == 1 else hashes[_round_of(hashes, rounds) == turn])
-                n += len(held[-1])
-                if n >= CHUNK:
-                    yield _sketch_rows(np.concatenate(held))
-                    held, n = [], 0
-        if n:
-            yield _sketch_rows(np.concatenate(held))
+            chunks = batch.column(0).to_numpy() >> CHUNK_ROW_BITS
+            for part in V.slices(batch.column(1)):
+                first, hashes = part.windows(part.hashes(), k)
+                of = chunks[part.first + part.text[first]]
+                for chunk in np.unique(of).tolist():
+                    if chunk != at and held:
+                        yield _sketch_rows(at, np.concatenate(held), bits)
+                        held = []
+                    at = chunk
+                    held.append(hashes[of == chunk])
+        if held:
+            yield _sketch_rows(at, np.concatenate(held), bits)
 
     return run
 
 
-def _merge(table: pd.DataFrame) -> pd.DataFrame:
-    """One bit for each cell of a range: set if its counts add up to two or more."""
-    once = np.zeros(1 << CELL_BITS - RANGES.bit_length() + 1, np.uint8)
-    for small, large in zip(table["small"], table["large"], strict=True):
-        cells = _unpack(small, large)
-        again = cells[1:][cells[1:] == cells[:-1]]
-        once[cells] = np.minimum(once[cells] + 1, 2)
-        once[again] = 2
-    return pd.DataFrame({"part": [int(table["part"].iloc[0])], "bits": [np.packbits(once > 1, bitorder="little").tobytes()]})
-
+def _merge(wide: int):
+    """Of one range: each chunk's cells that count twice or more over all chunks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        count = np.zeros(1 << wide, np.uint8)
+        lists = [x.as_py() for x in table.column("cells")]
+        for data in lists:
+            cells = _unpack(data)
+            again = cells[1:][cells[1:] == cells[:-1]]
+            count[cells] = np.minimum(count[cells] + 1, 2)
+            count[again] = 2
+        found = []
+        for data in lists:
+            cells = _unpack(data)
+            found.append(_pack(np.unique(cells[count[cells] > 1])))
+        out = table.set_column(table.schema.get_field_index("cells"), "cells", pa.array(found, pa.binary()))
+        return out.filter(pa.array([len(x) > 1 for x in found], pa.bool_())).select(["row", "part", "chunk", "cells"])
 
-def _estimated_repeated(docs: DataFrame, k: int, rounds: int, turn: int):
-    """The merged sketch as a broadcast: DEPTH bit maps of 2**CELL_BITS bits, whatever the input's size."""
-    lists = docs.select("text").mapInArrow(_sketch(k, rounds, turn), "part int, small binary, large binary")
-    merged = lists.groupBy("part").applyInPandas(_merge, "part int, bits binary").collect()
-    size = 1 << CELL_BITS - 3 - RANGES.bit_length() + 1
-    maps = bytearray(DEPTH * RANGES * size)
-    for row in merged:
-        maps[row["part"] * size : (row["part"] + 1) * size] = row["bits"]
-    return docs.sparkSession.sparkContext.broadcast(bytes(maps))
+    return run
 
 
 ENTRY = np.dtype([("h", "<u8"), ("x", "<u4"), ("pos", "<i4"), ("doc", "<i8"), ("fid", "<i8")])
@@ -148,8 +175,35 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "doc_id", "fid", "data"])
 
 
-def _ship(k: int, rounds: int, turn: int, maps, buckets: int):
-    def flush(held: list[np.ndarray]):
+def _ship(k: int, bits: int, buckets: int):
+    """Of one chunk: the windows whose cells all count twice or more, as entries for exact grouping."""
+
+    def run(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        again, wide = [[] for _ in range(DEPTH)], range_bits(bits)
+        for row, part, cells in zip(*[flags.column(c).to_pylist() for c in ("row", "part", "cells")], strict=True):
+            again[row].append(_unpack(cells) + (part << wide))
+        if not all(again) or not texts.num_rows:
+            return pa.Table.from_batches([_batch([])])
+        known = [np.unique(np.concatenate(x)) for x in again]
+        rids, doc_ids, held = texts.column("rid").to_numpy(), texts.column("doc_id").to_numpy(), []
+        for part in V.slices(texts.column("text")):
+            one = part.hashes()
+            at, hashes = part.windows(one, k)
+            seen = np.ones(len(at), bool)
+            for row in range(DEPTH):
+                cells = _cells(hashes, row, bits)
+                slot = np.minimum(np.searchsorted(known[row], cells), len(known[row]) - 1)
+                seen &= known[row][slot] == cells
+            if not seen.any():
+                continue
+            other = part.windows(V.mix(one ^ _SALT), k)[1][seen]
+            at, text = at[seen], part.text[at[seen]]
+            got = np.empty(len(at), ENTRY)
+            got["h"], got["x"], got["pos"] = hashes[seen], other >> np.uint64(32), at - part.bounds[text]
+            got["doc"], got["fid"] = doc_ids[part.first + text], rids[part.first + text]
+            held.append(got)
+        if not held:
+            return pa.Table.from_batches([_batch([])])
         first, later = _resolve(np.concatenate(held))
         rows = list(_removals(later, True, buckets))
         bucket = (first["h"] % np.uint64(buckets)).astype(np.int64)
@@ -158,37 +212,7 @@ def _ship(k: int, rounds: int, turn: int, maps, buckets: int):
         for part in np.split(np.arange(len(first)), np.flatnonzero(np.diff(bucket)) + 1):
             if len(part):
                 rows.append((int(bucket[part[0]]), None, None, _compress(first[part])))
-        for at in range(0, len(rows), 4096):
-            yield _batch(rows[at : at + 4096])
-
-    def run(batches):
-        bits = np.frombuffer(maps.value, np.uint8).reshape(DEPTH, -1)
-        held, n = [], 0
-        for batch in batches:
-            doc_ids, fids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for part in V.slices(batch.column(2)):
-                one = part.hashes()
-                at, hashes = part.windows(one, k)
-                seen = np.ones(len(at), bool)
-                for row in range(DEPTH):
-                    cells = _cells(hashes, row)
-                    seen &= (bits[row][cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-                if rounds > 1:
-                    seen &= _round_of(hashes, rounds) == turn
-                if not seen.any():
-                    continue
-                other = part.windows(V.mix(one ^ _SALT), k)[1][seen]
-                at, text = at[seen], part.text[at[seen]]
-                got = np.empty(len(at), ENTRY)
-                got["h"], got["x"], got["pos"] = hashes[seen], other >> np.uint64(32), at - part.bounds[text]
-                got["doc"], got["fid"] = doc_ids[part.first + text], fids[part.first + text]
-                held.append(got)
-                n += len(got)
-                if n >= CHUNK:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -203,20 +227,27 @@ def _group(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)]).select(["doc_id", "fid", "data"])
 
 
-def repeated_windows(docs: DataFrame, k: int = WINDOW, buckets: int | None = None, rounds: int | None = None) -> DataFrame:
-    """(doc_id, fid, data): word positions (packed int32) where a window starts that also starts in a smaller document."""
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fid"), F.col("text").cast("string"))
-    if rounds is None or buckets is None:
-        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        rounds = rounds or max(1, -(-size // (6 << CELL_BITS)))
+def numbered(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(rid, doc_id, text) of every row, written, with rid as _number says."""
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_number(chunk), "rid long, doc_id long, text string"), "texts")
+
+
+def repeated_windows(texts: DataFrame, k: int = WINDOW, buckets: int | None = None, bits: int | None = None) -> DataFrame:
+    """(doc_id, fid, data): word positions (packed int32) of the row fid where a window starts that also starts in a smaller document."""
+    texts = texts.where("doc_id is not null and text is not null")
+    if bits is None or buckets is None:
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        bits = bits or max(LEAST_RANGE_BITS, (size // 3).bit_length())  # over two cells for each window, as a word has a byte and a space
         buckets = buckets or max(64, size // (8 << 20))
-    out = None
-    for turn in range(rounds):
-        maps = _estimated_repeated(docs, k, rounds, turn)
-        shipped = docs.mapInArrow(_ship(k, rounds, turn, maps, buckets), _SHIPPED)
-        found = shipped.groupBy("bucket").applyInArrow(_group, "doc_id long, fid long, data binary")
-        out = found if out is None else out.union(found)
-    return out
+    chunk = F.shiftright("rid", CHUNK_ROW_BITS)
+    lists = texts.select("rid", "text").mapInArrow(_sketch(k, bits), _SKETCH)
+    flags = materialize(lists.groupBy("row", "part").applyInArrow(_merge(range_bits(bits)), _SKETCH), "flags")
+    settle(texts.sparkSession)
+    whole = texts.select(chunk.alias("chunk"), "rid", "doc_id", "text")
+    shipped = whole.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_ship(k, bits, buckets), _SHIPPED)
+    found = materialize(shipped.groupBy("bucket").applyInArrow(_group, "doc_id long, fid long, data binary"), "windows")
+    discard(flags)
+    return found
 
 
 def _finish(k: int, with_text: bool):
@@ -246,7 +277,7 @@ def _finish(k: int, with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, k: int = WINDOW, with_text: bool = False, buckets: int | None = None, rounds: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = WINDOW, with_text: bool = False, buckets: int | None = None, bits: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_removed, kept_text (only with_text), kept_sha256.
 
     A word goes if any window of k words over it also starts in a document with a smaller doc_id; windows are judged on
@@ -255,8 +286,8 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, with_text: bool = False,
     doc_id keeps its words. Texts may be of any length: memory follows the longest. Other columns are not read; an empty
     table gives no rows.
     """
-    found = materialize(repeated_windows(docs, k, buckets, rounds), "windows")
-    found = found.groupBy("doc_id", "fid").agg(F.collect_list("data").alias("found"))
-    whole = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fid"), F.col("text").cast("string"))
-    joined = whole.join(found, ["doc_id", "fid"], "left").select("doc_id", "text", "found")
+    texts = numbered(docs, chunk)
+    found = repeated_windows(texts, k, buckets, bits).groupBy("fid").agg(F.collect_list("data").alias("found"))
+    settle(docs.sparkSession)
+    joined = texts.join(found, texts["rid"] == found["fid"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_finish(k, with_text), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -178,8 +179,8 @@ def test_substring_dedup_equals_brute_force(docs, empty):
                 gone.update(range(i, i + 13))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    for rounds in (1, 3):
-        got = substring.dedup_substrings(docs, rounds=rounds, buckets=5).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    for bits, chunk in ((None, 8 << 20), (12, 3000), (25, 1)):
+        got = substring.dedup_substrings(docs, bits=bits, buckets=5, chunk=chunk).select("doc_id", "n_words", "n_removed", "kept_sha256")
         assert Counter(map(tuple, got.collect())) == want
     assert substring.dedup_substrings(empty).count() == 0
     text = substring.dedup_substrings(docs, with_text=True).where("n_removed > 0").first()
@@ -189,15 +190,29 @@ def test_substring_dedup_equals_brute_force(docs, empty):
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(5)
     hashes = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    twice = np.concatenate([hashes, hashes[:300]])
-    batch = substring._sketch_rows(twice).to_pandas()
-    bits = np.zeros(substring.DEPTH << substring.CELL_BITS, bool)
-    for part, table in batch.groupby("part"):
-        got = np.unpackbits(np.frombuffer(substring._merge(table)["bits"][0], np.uint8), bitorder="little").astype(bool)
-        bits[part * len(got) : (part + 1) * len(got)] = got
-    for row in range(substring.DEPTH):
-        assert bits[substring._cells(hashes[:300], row) + (row << substring.CELL_BITS)].all()
-    assert bits.sum() < 700
+    chunks = [hashes[:3000], np.concatenate([hashes[3000:], hashes[:300]]), np.repeat(hashes[4000:4010], 2)]
+    bits = 24
+    wide = substring.range_bits(bits)
+    rows = pa.Table.from_batches([substring._sketch_rows(i, x, bits) for i, x in enumerate(chunks)])
+    said = {i: [set() for _ in range(substring.DEPTH)] for i in range(3)}
+    for part in {(r["row"], r["part"]) for r in rows.select(["row", "part"]).to_pylist()}:
+        own = rows.filter((pc.field("row") == part[0]) & (pc.field("part") == part[1]))
+        for r in substring._merge(wide)(own).to_pylist():
+            said[r["chunk"]][r["row"]] |= set((substring._unpack(r["cells"]) + (r["part"] << wide)).tolist())
+    for chunk, again in ((0, hashes[:300]), (1, hashes[:300]), (1, hashes[4000:4010]), (2, hashes[4000:4010])):
+        for row in range(substring.DEPTH):
+            assert set(substring._cells(again, row, bits).tolist()) <= said[chunk][row]
+    assert len(said[0][0]) < 400 and len(said[2][1]) <= 10
+
+
+def test_chunks_are_bounded_and_numbered_once(docs):
+    rows = substring.numbered(docs, 2000).collect()
+    assert len({r["rid"] for r in rows}) == len(rows) == docs.count()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["rid"] >> substring.CHUNK_ROW_BITS] += len((r["text"] or "").encode())
+    longest = max(len((r["text"] or "").encode()) for r in rows)
+    assert len(sizes) > 4 and max(sizes.values()) <= max(2000, longest)
 
 
 def counts(text):
