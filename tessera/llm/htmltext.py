@@ -287,7 +287,8 @@ def main_text(row: dict, fixed: set[int]) -> list[str]:
     # a marked element around most of the articles' text is a layout, not furniture
     furniture = down([b & TAG > 0 or (b & WORD > 0 and (article[p] or 2 * own[p] <= own[0])) for p, b in enumerate(bits)], either)
     blocks = [b for b in range(len(texts)) if not furniture[path[b]]]
-    slots = {b for b in blocks if at[b] not in fixed}
+    repeated = {(path[b], texts[b]) for b in range(len(texts)) if at[b] in fixed}
+    slots = {b for b in blocks if (path[b], texts[b]) not in repeated}
     weight = sums([b for b in blocks if b in slots or article[path[b]]])
     within = [True] * n
     if fixed and slots:

@@ -42,6 +42,11 @@ def test_template_alone_tells_the_text_of_bare_divs(spark, monkeypatch):
     assert all("Home" in t and "biscuits" in t and "All rights reserved." in t for t in alone.values())
 
 
+def test_template_text_goes_wherever_it_stands_on_a_page(spark):
+    page = "<body><div class=p><p>Read our paper.</p><p>Story {0} begins and goes on.</p><p>Read our paper.</p></div></body>"
+    assert extracted(spark, [(i, f"https://r.example/{i}", page.format(i)) for i in range(5)])[3] == "Story 3 begins and goes on."
+
+
 def test_copies_with_an_edit_keep_their_text(spark):
     own = "".join(f"<p>Paragraph number {k} of the text.</p>" for k in range(5))
     rows = [(i, f"https://c.example/{i}", f"<body><nav>Menu</nav><article>{own}<p>Edit {i}.</p></article></body>") for i in range(6)]
