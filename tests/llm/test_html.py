@@ -43,8 +43,8 @@ def test_template_alone_tells_the_text_of_bare_divs(spark, monkeypatch):
 
 
 def test_template_text_goes_wherever_it_stands_on_a_page(spark):
-    page = "<body><div class=p><p>Read our paper.</p><p>Story {0} begins and goes on.</p><p>Try it free.</p><p>Read our paper.</p><p>Try it free.</p></div></body>"
-    assert extracted(spark, [(i, f"https://r.example/{i}", page.format(i)) for i in range(5)])[3] == "Story 3 begins and goes on."
+    page = "<body><div class=p><p>Read our paper.</p><p>Story {0} begins and goes on for so long that it outweighs what stands around it by far.</p><p>Try it free.</p><p>Read our paper.</p><p>Try it free.</p></div></body>"
+    assert extracted(spark, [(i, f"https://r.example/{i}", page.format(i)) for i in range(5)])[3] == "Story 3 begins and goes on for so long that it outweighs what stands around it by far."
 
 
 def test_copies_with_an_edit_keep_their_text(spark):
