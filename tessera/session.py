@@ -40,25 +40,24 @@ class Session:
     """Presto SQL over Spark's tables and connectors; the first connector added is the default one."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.connectors, self.default, self.variables = configure(spark), {}, None, {}
+        self.spark, self.connectors, self.default, self.variables, self.views = configure(spark), {}, None, {}, set()
 
     def add(self, name: str, connector) -> None:
         self.connectors[name] = connector
         self.default = self.default or name
 
     def _view(self, name: str) -> str:
-        """A relation's name for Spark: a view of the connector's table, or the name as it is."""
+        """A relation's name for Spark: the session's own view, else a view of the connector's table, else the name as it is."""
         from .sources.tables import TableName
 
-        if self.connectors and (name.count(".") > 1 or not self.spark.catalog.tableExists(name)):
-            plain = TableName(*reversed(_parts(name)))
-            connector = self.connectors.get(plain.catalog or self.default)
-            found = connector.table(plain) if connector else None
-            if found is not None:
-                view = re.sub(r"\W", "_", f"{plain.catalog or self.default}__{plain.schema}__{plain.table}")
-                found.createOrReplaceTempView(view)
-                return f"{view} AS {plain.table}"
-        return name
+        plain = TableName(*reversed(_parts(name)))
+        connector = self.connectors.get(plain.catalog or self.default)
+        found = connector.table(plain) if connector and name not in self.views else None
+        if found is None:
+            return name
+        view = re.sub(r"\W", "_", f"{plain.catalog or self.default}__{plain.schema}__{plain.table}")
+        found.createOrReplaceTempView(view)
+        return f"{view} AS {plain.table}"
 
     def translate(self, text: str) -> str:
         from .sql.presto import translate

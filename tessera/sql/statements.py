@@ -54,6 +54,7 @@ def _create_table(session, m) -> DataFrame:
 
 def _create_view(session, m) -> DataFrame:
     session.sql(m["query"]).createOrReplaceTempView(_unquoted(m["name"]))
+    session.views.add(_unquoted(m["name"]))
     return _done(session, "CREATE VIEW")
 
 
@@ -87,6 +88,7 @@ def _update(session, m) -> DataFrame:
 
 def _drop(session, m) -> DataFrame:
     name = _unquoted(m["name"])
+    session.views.discard(name)
     if m["kind"].upper() == "VIEW" and session.spark.catalog.dropTempView(name):
         return _done(session, "DROP VIEW")
     session.spark.sql(f"DROP {m['kind']} {'IF EXISTS ' if m['unless'] else ''}{name}")
