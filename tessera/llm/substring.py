@@ -244,9 +244,11 @@ def repeated_windows(texts: DataFrame, k: int = WINDOW, buckets: int | None = No
     flags = materialize(lists.groupBy("row", "part").applyInArrow(_merge(range_bits(bits)), _SKETCH), "flags")
     settle(texts.sparkSession)
     whole = texts.select(chunk.alias("chunk"), "rid", "doc_id", "text")
-    shipped = whole.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_ship(k, bits, buckets), _SHIPPED)
-    found = materialize(shipped.groupBy("bucket").applyInArrow(_group, "doc_id long, fid long, data binary"), "windows")
+    shipped = materialize(whole.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_ship(k, bits, buckets), _SHIPPED), "shipped")
     discard(flags)
+    settle(texts.sparkSession)  # written, so that the shuffled texts can go before the entries are shuffled
+    found = materialize(shipped.groupBy("bucket").applyInArrow(_group, "doc_id long, fid long, data binary"), "windows")
+    discard(shipped)
     return found
 
 
