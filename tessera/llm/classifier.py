@@ -22,8 +22,9 @@ BUCKETS, MAX_LABELLED, GRADES = 1 << 18, 8000, 3
 MAX_FEATURES = 1 << 25
 #: Buckets below this number are for the shape of the text.
 SHAPES = 96
-#: The least probability of the best grade for selection. All grades share one score, so a cut on another tail is a cut on this.
-SELECT = 0.5
+#: The least probability of the best grade for selection: below a half, as losing a good document costs more than a fair one.
+#: All grades share one score, so a cut on another tail is a cut on this.
+SELECT = 0.4
 #: How many first bytes of a word are features of their own, so that a stem counts whatever its ending.
 STEMS = (6, 7)
 #: Steps, step size and ridge of the fit; a feature needs so many labelled documents and such a share of them to get a weight.
