@@ -38,14 +38,15 @@ def range_bits(bits: int) -> int:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted whole numbers as gaps of two bytes, or four if one needs them; the first byte says which."""
+    """Sorted whole numbers as gaps of two bytes, or four if one needs them, all low bytes first; the first byte says which."""
     gaps = np.diff(values, prepend=np.zeros(1, values.dtype))
     width = 2 if not len(gaps) or gaps.max() < 1 << 16 else 4
-    return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
+    return bytes([width]) + gaps.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64))
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.int64))
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -154,19 +155,19 @@ def _resolve(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compress(part: np.ndarray) -> bytes:
-    """Columns one after another, in document order, so that the shuffle's compression finds the runs."""
+    """Columns one after another, in document order and but for the hashes as differences, so that compression finds the runs."""
     part = part[np.lexsort((part["pos"], part["fid"], part["doc"]))]
-    return b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ("h", "x", "pos")) + b"".join(np.diff(part[c], prepend=np.zeros(1, "<i8")).tobytes() for c in ("doc", "fid"))
+    steps = b"".join(np.diff(part[c], prepend=np.zeros(1, ENTRY[c])).tobytes() for c in ("pos", "doc", "fid"))
+    return b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ("h", "x")) + steps
 
 
 def _expand(data: bytes) -> np.ndarray:
     n = len(data) // ENTRY.itemsize
     out, at = np.zeros(n, ENTRY), 0
     for c in ("h", "x", "pos", "doc", "fid"):
-        size = ENTRY[c].itemsize * n
         column = np.frombuffer(data, ENTRY[c], n, at)
-        out[c] = np.cumsum(column) if c in ("doc", "fid") else column
-        at += size
+        out[c] = np.cumsum(column, dtype=ENTRY[c]) if c in ("pos", "doc", "fid") else column
+        at += ENTRY[c].itemsize * n
     return out
 
 
