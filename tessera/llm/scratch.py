@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-PAUSE = 1.0
+#: How often, and for how many seconds each, the cleaner is waited for.
+TURNS, PAUSE = 6, 0.3
 _OWN: dict[str, str] = {}
 #: Path of each table, with a weak reference to the file index that every plan over its files holds.
 _READ: dict[str, object] = {}
@@ -63,12 +64,15 @@ def settle(spark: SparkSession) -> None:
     """Frees the disk of steps that are over.
 
     The JVM is asked to collect, upon which Spark's cleaner deletes shuffle files, and tables whose files no DataFrame, and
-    none derived from it, can read any more are deleted. On a cluster the next step waits PAUSE seconds for the cleaner,
-    which works on its own, so that it does not add its files to those of the last.
+    none derived from it, can read any more are deleted. The cleaner works on its own: the next step waits for it,
+    TURNS pauses at most while shuffles are left, so that it does not add its files to those of the last.
     """
-    gc.collect()
-    spark._jvm.System.gc()
-    if not spark.sparkContext.master.startswith("local["):
+    shuffles = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    for _ in range(TURNS):
+        gc.collect()
+        spark._jvm.System.gc()
+        if not shuffles.size():
+            break
         time.sleep(PAUSE)
     for path, index in list(_READ.items()):
         if index.refersTo(None):
