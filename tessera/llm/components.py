@@ -11,13 +11,13 @@ from .scratch import discard, materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,8 +30,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component) for every node of edges(a, b), longs; component is the smallest node reachable.
 
     Each round is two joins on node keys, which Spark may split when one node has many edges, and writes its edges to
-    the shared folder. The driver sees only a count and a checksum a round. Loops (a = b) and repeated edges are
-    harmless; null ends are dropped; no edges give no rows.
+    the shared folder. Neither side is broadcast: in memory it is many times the size of its files. The driver sees only
+    a count and a checksum a round. Loops (a = b) and repeated edges are harmless; null ends are dropped; no edges give
+    no rows.
     """
     start = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     loops = start.where("a = b").select("a").distinct()
@@ -47,5 +48,5 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         state = new
     roots = now.select(F.col("b").alias("node")).distinct()
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-    alone = loops.select(F.col("a").alias("node")).join(out.select("node"), "node", "left_anti")
+    alone = loops.select(F.col("a").alias("node")).join(out.select("node").hint("merge"), "node", "left_anti")
     return out.union(alone.select("node", F.col("node").alias("component")))

@@ -111,10 +111,12 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     Exact without pairs of whole buckets: each bucket links its members to its smallest and largest fingerprint where
     those lie within 3 bits. Only in buckets whose members then still belong to several components are the members
     outside the first one's component compared with the rest, and only across components.
+
+    Tables that grow with the corpus are never broadcast: keyed has 42 rows for each of prints, which Spark takes for one.
     """
     keyed = prints.select("fp").mapInArrow(_keyed, "key long, fp long")
     buckets = materialize(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = materialize(keyed.join(buckets.where("n > 2").select("key", "lo", "hi"), "key"), "members")
+    members = materialize(keyed.join(buckets.where("n > 2").select("key", "lo", "hi").hint("merge"), "key"), "members")
     stars = (
         buckets.where("n = 2").where(_near("lo", "hi")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         .union(members.where(_near("fp", "lo")).select(F.col("lo").alias("a"), F.col("fp").alias("b")))
@@ -124,7 +126,7 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     stars = materialize(stars, "stars")
     first = materialize(connected_components(stars, "first"), "labels")
     label = lambda c: F.coalesce(F.col("component"), F.col(c))
-    named = members.select("key", "fp").join(first, members["fp"] == first["node"], "left").select("key", "fp", label("fp").alias("c"))
+    named = members.select("key", "fp").join(first.hint("merge"), members["fp"] == first["node"], "left").select("key", "fp", label("fp").alias("c"))
     named = materialize(named, "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "c0")
     named = named.join(mixed, "key")
@@ -132,9 +134,9 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     cross = others.join(named.select("key", "fp", "c"), (others["key"] == named["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
     cross = materialize(cross.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct(), "cross")
     second = connected_components(cross, "second")
-    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("into")).hint("merge"), "component", "left")
     merged = merged.select("node", F.coalesce("into", "component").alias("component"))
-    lone = second.join(first.select("node"), "node", "left_anti")
+    lone = second.join(first.select("node").hint("merge"), "node", "left_anti")
     out = materialize(merged.union(lone), "linked")
     for x in (buckets, members, stars, first, cross):
         discard(x)
@@ -152,7 +154,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     linked = linked_prints(nodes)
-    placed = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    placed = nodes.join(linked.hint("merge"), nodes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     names = placed.groupBy("c").agg(F.min("low").alias("component_id"))
     placed = placed.join(names, "c").select("fp", "component_id")
     return prints.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
