@@ -12,6 +12,8 @@ lines of similarity SIMILARITY, the smaller of n shingles, share at least two of
 The members of a band bucket are compared with single lines of it, never all with all: in each of a few rounds a bucket draws
 some members, and those of other components are compared with them unless they were before. What a round joins is not
 compared again, so groups of copies cost one comparison a line and bucket, and each round's work is linear in the members.
+The rounds only make the rest small. All lines of buckets that still hold several components are then met exactly: of their
+shingles, the rarest first, two similar lines share one of the first n - ceil(SIMILARITY n) + 1, so no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -101,7 +103,8 @@ def _met(rows: DataFrame, draws: int) -> DataFrame:
     """Pairs (a, b, ca, cb) across components, a > b, of members of rows(key, id, component) with their keys' drawn members.
 
     A key draws so many of its members: as many aggregates, so a hot key is combined before the shuffle and its members are
-    joined with few rows. Of the partners that a member meets in its keys, it keeps as many, those that share most keys.
+    joined with few rows. Of the partners that a member meets in its keys, it keeps as many, those that share most keys; what
+    this leaves out is left to _rest.
     """
     drawn = lambda i: F.min(F.struct(F.xxhash64("key", "id", F.lit(draws + i)).alias("h"), "id", "component"))
     table = rows.groupBy("key").agg(*[drawn(i).alias(f"y{i}") for i in range(draws)])
@@ -115,6 +118,26 @@ def _met(rows: DataFrame, draws: int) -> DataFrame:
     return met.select(pick("id", "y").alias("a"), pick("y", "id").alias("b"), pick("component", "cy").alias("ca"), pick("cy", "component").alias("cb")).distinct()
 
 
+def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) across components, a > b, with all that are similar among the lines of rows(key, id, component).
+
+    A prefix filter: the shingles of a line are ordered by how many of these lines hold them. Those that no other line holds
+    come first and need no join; so lines of a hot bucket that differ enough meet nobody. What is left of two lines from the
+    shingle on where they meet bounds what they share, within the join.
+    """
+    held = texts.join(rows.select("id", "component").distinct().hint("merge"), "id")
+    held = materialize(held.select("id", "component", "n", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")), "shingles")
+    several = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    shared = held.join(several.hint("merge"), "h")
+    each = Window.partitionBy("id")
+    ranked = shared.select("*", F.row_number().over(each.orderBy("f", "h")).alias("r"), F.count("*").over(each).alias("c"))
+    prefix = materialize(ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).select("h", "id", "component", "n", "c", "r"), "prefix")
+    x, y = prefix.toDF("h", "a", "ca", "m", "c", "r"), prefix.toDF("g", "b", "cb", "n", "d", "q")
+    most = F.least("r", "q") + F.least(F.col("c") - F.col("r"), F.col("d") - F.col("q"))
+    enough = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("m") + F.col("n")) - 1e-9
+    return x.join(y.hint("merge"), (x["h"] == y["g"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"]) & enough).select("a", "b", "ca", "cb").distinct()
+
+
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups(node, component) after links between components (ca, cb) were added."""
     upper = materialize(connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "lines"), "upper")
@@ -129,14 +152,15 @@ def _grouped(members: DataFrame, texts: DataFrame) -> DataFrame:
     groups = spark.createDataFrame([], "node long, component long")
     rows = members.select("key", "id", F.col("id").alias("component"))
     met = spark.createDataFrame([], "a long, b long")
-    for draws in DRAWS:
-        pairs = materialize(_met(rows, draws).join(met, ["a", "b"], "left_anti"), "pairs")
+    for draws in (*DRAWS, None):
+        found = _met(rows, draws) if draws else _rest(rows, texts)
+        pairs = materialize(found.join(met.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         links = materialize(_similar(pairs, texts), "links")
         if not links.isEmpty():
             groups = _merged(groups, links)
         met = met.union(pairs.select("a", "b"))
         settle(spark)
-        if draws != DRAWS[-1]:
+        if draws:
             rows = _open(rows.select("key", "id"), groups)
     return groups
 
