@@ -2,8 +2,11 @@
 
 import random
 
+import corpus_pipeline
 from tessera.llm import components, scratch, simhash
 
+DATA = "/root/testdata/sf0.001"
+
 
 def plans_of(monkeypatch):
     """Name and plan, as it stands before it runs, of each table written from here on."""
@@ -46,3 +49,10 @@ def test_keys_and_labels_of_fingerprints_are_not_broadcast(spark, monkeypatch):
                 root[find(a)] = find(b)
     assert {frozenset(y for y in got if got[y] == c) for c in got.values()} == {s for s in (frozenset(y for y in prints if find(y) == x) for x in prints) if len(s) > 1}
     assert sent(plans, "members", "named", "first", "linked") == []
+
+
+def test_near_dedup_of_the_pipeline_broadcasts_no_keys(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert 0 < corpus_pipeline.near_dedup(spark, docs, DATA).count() < docs.count()
+    assert sent(plans, "members", "named", "first") == []
