@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize, settle
+from .scratch import discard, materialize, settle
 
 SHINGLE, ROWS, SIMILARITY = 9, 4, 0.8
 #: Bands begin among so many least hashes, at one in EVERY of them; lines with fewer begin one at each.
@@ -125,13 +125,23 @@ def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
     come first and need no join; so lines of a hot bucket that differ enough meet nobody. What is left of two lines from the
     shingle on where they meet bounds what they share, within the join.
     """
-    held = texts.join(rows.select("id", "component").distinct().hint("merge"), "id")
-    held = materialize(held.select("id", "component", "n", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")), "shingles")
-    several = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    shared = held.join(several.hint("merge"), "h")
+    spark = rows.sparkSession
+    open_ = texts.join(rows.select("id", "component").distinct().hint("merge"), "id")
+    held = materialize(open_.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")), "shingles")
+    settle(spark)
+    several = materialize(held.groupBy("h").agg(F.count("*").cast("int").alias("f")).where("f > 1"), "several")
+    settle(spark)
+    shared = materialize(held.join(several.hint("merge"), "h"), "shared")
+    discard(held)
+    discard(several)
+    settle(spark)
     each = Window.partitionBy("id")
-    ranked = shared.select("*", F.row_number().over(each.orderBy("f", "h")).alias("r"), F.count("*").over(each).alias("c"))
-    prefix = materialize(ranked.where(F.col("r") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).select("h", "id", "component", "n", "c", "r"), "prefix")
+    ranked = shared.select("*", F.row_number().over(each.orderBy("f", "h")).alias("r"), F.count("*").over(each).cast("int").alias("c"))
+    sized = open_.select("id", "component", "n").hint("merge")
+    first = F.col("r") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    prefix = materialize(ranked.join(sized, "id").where(first).select("h", "id", "component", "n", "c", "r"), "prefix")
+    discard(shared)
+    settle(spark)
     x, y = prefix.toDF("h", "a", "ca", "m", "c", "r"), prefix.toDF("g", "b", "cb", "n", "d", "q")
     most = F.least("r", "q") + F.least(F.col("c") - F.col("r"), F.col("d") - F.col("q"))
     enough = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("m") + F.col("n")) - 1e-9
