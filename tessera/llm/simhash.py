@@ -129,9 +129,9 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     named = members.select("key", "fp").join(first.hint("merge"), members["fp"] == first["node"], "left").select("key", "fp", label("fp").alias("c"))
     named = materialize(named, "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "c0")
-    named = named.join(mixed, "key")
+    named = named.join(mixed.hint("merge"), "key")
     others = named.where("c <> c0").select("key", F.col("fp").alias("other"), F.col("c").alias("oc"))
-    cross = others.join(named.select("key", "fp", "c"), (others["key"] == named["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
+    cross = others.join(named.select("key", "fp", "c").hint("merge"), (others["key"] == named["key"]) & (F.col("c") != F.col("oc")) & _near("fp", "other"))
     cross = materialize(cross.select(F.col("c").alias("a"), F.col("oc").alias("b")).distinct(), "cross")
     second = connected_components(cross, "second")
     merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("into")).hint("merge"), "component", "left")
@@ -156,8 +156,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = linked_prints(nodes)
     placed = nodes.join(linked.hint("merge"), nodes["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     names = placed.groupBy("c").agg(F.min("low").alias("component_id"))
-    placed = placed.join(names, "c").select("fp", "component_id")
-    return prints.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    placed = placed.join(names.hint("merge"), "c").select("fp", "component_id")
+    return prints.join(placed.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -168,10 +168,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = materialize(near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null"), "classes")
     settle(docs.sparkSession)
     drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    # the list grows with the corpus: it is never broadcast, so that the join is the same at every size
+    # the lists grow with the corpus: they are never broadcast, so that the joins are the same at every size
     kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    repeated = kept.join(again.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(repeated)

@@ -56,3 +56,12 @@ def test_near_dedup_of_the_pipeline_broadcasts_no_keys(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert 0 < corpus_pipeline.near_dedup(spark, docs, DATA).count() < docs.count()
     assert sent(plans, "members", "named", "first") == []
+
+
+def test_no_step_of_near_dedup_broadcasts(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.union(docs.limit(5))
+    kept = corpus_pipeline.near_dedup(spark, docs, DATA)
+    plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
+    assert sent(plans, "fingerprints", "nodes", "cross", "linked", "classes", "kept") == []
