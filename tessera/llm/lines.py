@@ -12,8 +12,9 @@ lines of similarity SIMILARITY, the smaller of n shingles, share at least two of
 The members of a band bucket are compared with single lines of it, never all with all: in each of a few rounds a bucket draws
 some members, and those of other components are compared with them unless they were before. What a round joins is not
 compared again, so groups of copies cost one comparison a line and bucket, and each round's work is linear in the members.
-The rounds only make the rest small. All lines of buckets that still hold several components are then met exactly: of their
-shingles, the rarest first, two similar lines share one of the first n - ceil(SIMILARITY n) + 1, so no link of a bucket is lost.
+The rounds only make the rest small. Buckets that still hold several components are then met exactly: those of at most SMALL
+members by all their pairs across components, the lines of larger ones by their shingles, the rarest first, of which two
+similar lines share one of the first n - ceil(SIMILARITY n) + 1. So no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FIRST, EVERY = 56, 4
 FEW = 16
 #: How many of its members a bucket draws in each round, for all its others to be compared with.
 DRAWS = (2, 8)
+#: Buckets of at most so many members are met by all their pairs in the end, larger ones by prefixes.
+SMALL = 16
 #: How many times the hashes that a signature needs are sorted for it.
 SPARE = 1.6
 
@@ -119,14 +122,24 @@ def _met(rows: DataFrame, draws: int) -> DataFrame:
 
 
 def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, ca, cb) across components, a > b, with all that are similar among the lines of rows(key, id, component).
+    """Pairs (a, b, ca, cb) across components, a > b, with all similar ones of each bucket of rows(key, id, component)."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    small = materialize(rows.join(sizes.where(F.col("n") <= SMALL).select("key").hint("merge"), "key"), "small")
+    large = materialize(rows.join(sizes.where(F.col("n") > SMALL).select("key").hint("merge"), "key").select("id", "component").distinct(), "large")
+    x, y = small.toDF("key", "a", "ca"), small.toDF("other", "b", "cb")
+    pairs = x.join(y.hint("merge"), (x["key"] == y["other"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"])).select("a", "b", "ca", "cb")
+    return pairs.union(_by_prefix(large, texts)).distinct()
+
+
+def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) across components, a > b, with all that are similar among the lines of rows(id, component).
 
     A prefix filter: the shingles of a line are ordered by how many of these lines hold them. Those that no other line holds
     come first and need no join; so lines of a hot bucket that differ enough meet nobody. What is left of two lines from the
     shingle on where they meet bounds what they share, within the join.
     """
     spark = rows.sparkSession
-    open_ = texts.join(rows.select("id", "component").distinct().hint("merge"), "id")
+    open_ = texts.join(rows.hint("merge"), "id")
     held = materialize(open_.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")), "shingles")
     settle(spark)
     several = materialize(held.groupBy("h").agg(F.count("*").cast("int").alias("f")).where("f > 1"), "several")
@@ -145,7 +158,7 @@ def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
     x, y = prefix.toDF("h", "a", "ca", "m", "c", "r"), prefix.toDF("g", "b", "cb", "n", "d", "q")
     most = F.least("r", "q") + F.least(F.col("c") - F.col("r"), F.col("d") - F.col("q"))
     enough = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("m") + F.col("n")) - 1e-9
-    return x.join(y.hint("merge"), (x["h"] == y["g"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"]) & enough).select("a", "b", "ca", "cb").distinct()
+    return x.join(y.hint("merge"), (x["h"] == y["g"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"]) & enough).select("a", "b", "ca", "cb")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:

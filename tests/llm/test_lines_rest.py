@@ -4,6 +4,8 @@ import random
 
 from test_lines import brute, classes_of, sentence, together
 
+from tessera.llm import lines
+
 
 def test_a_lone_pair_in_a_bucket_of_many_lines_is_found(spark):
     rng, texts, pairs = random.Random(17), [], []
@@ -34,3 +36,26 @@ def test_the_exact_pass_finds_what_brute_force_finds(spark, monkeypatch):
             texts.append(" ".join(own))
     texts = sorted(set(texts))
     assert together(classes_of(spark, texts)) == together(brute(texts))
+
+
+def edited(rng, base, n):
+    own = base.split()
+    for i in rng.sample(range(len(own)), n):
+        own[i] = sentence(rng, 1)
+    return " ".join(own)
+
+
+def test_lines_of_small_buckets_only_are_not_cut_into_shingles_again(spark, monkeypatch):
+    cut, keep = [], lines._by_prefix
+    monkeypatch.setattr(lines, "DRAWS", (1,))
+    monkeypatch.setattr(lines, "_by_prefix", lambda rows, texts: (cut.append({r["id"] for r in rows.collect()}), keep(rows, texts))[1])
+    rng, texts = random.Random(29), []
+    for _ in range(40):
+        base = sentence(rng, 30)
+        texts += [edited(rng, base, n) for n in (0, 1, 2, 3, 3)]
+    hot = sentence(rng, 60)
+    texts = sorted({*texts, *[edited(rng, hot, 5) for _ in range(100)]})
+    want, got = together(brute(texts)), together(classes_of(spark, texts))
+    assert got <= want
+    assert len(got) >= 0.99 * len(want) > 0
+    assert [0 < len(x) <= 100 for x in cut] == [True]
