@@ -15,10 +15,16 @@ compared again, so groups of copies cost one comparison a line and bucket, and e
 The rounds only make the rest small. Buckets that still hold several components are then met exactly: those of at most SMALL
 members by all their pairs across components, the lines of larger ones by their shingles, the rarest first, of which two
 similar lines share one of the first n - ceil(SIMILARITY n) + 1. So no link of a bucket is lost.
+
+Each line that shares a bucket has a sketch of WORDS * 64 bits, in which each of its distinct shingles turns one bit over. Two
+lines differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in too many is not
+similar: it is neither made by the prefixes nor are its texts fetched. This leaves out no similar pair.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +40,8 @@ FEW = 16
 DRAWS = (2, 8)
 #: Buckets of at most so many members are met by all their pairs in the end, larger ones by prefixes.
 SMALL = 16
+#: Longs in the sketch of a line.
+WORDS = 16
 #: How many times the hashes that a signature needs are sorted for it.
 SPARE = 1.6
 
@@ -87,12 +95,35 @@ def band_keys(line: Column) -> Column:
     return let(let(shingles(line), _least), keys)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, more) whose exact Jaccard similarity reaches SIMILARITY; texts are (id, line, n) with n distinct shingles."""
-    sided = pairs.join(texts.toDF("a", "s", "m"), "a").join(texts.toDF("b", "t", "n"), "b")
-    sized = sided.where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n"))
+class Texts(NamedTuple):
+    """lines(id, line) and sketches(id, n, w): how many distinct shingles a line has, and its sketch."""
+
+    lines: DataFrame
+    sketches: DataFrame
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """sketches of Texts, of lines(id, line)."""
+    spread = lines.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.expr("shiftright(h, 6)").bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]
+    return spread.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.array(*words).alias("w"))
+
+
+def _near(m: Column, v: Column, n: Column, w: Column) -> Column:
+    """Whether two lines of m and n shingles and the sketches v and w may reach SIMILARITY: similar ones always may."""
+    differ = sum((F.bit_count(F.get(v, i).bitwiseXOR(F.get(w, i))) for i in range(1, WORDS)), F.bit_count(F.get(v, 0).bitwiseXOR(F.get(w, 0))))
+    return differ * (1 + SIMILARITY) <= (m + n) * (1 - SIMILARITY) + 1e-9
+
+
+def _similar(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The pairs (a, b, more) whose exact Jaccard similarity reaches SIMILARITY."""
+    sided = pairs.join(texts.sketches.toDF("a", "m", "v"), "a").join(texts.sketches.toDF("b", "n", "w"), "b")
+    m, n = F.col("m"), F.col("n")
+    sized = sided.where((F.least(m, n) >= SIMILARITY * F.greatest(m, n)) & _near(m, F.col("v"), n, F.col("w"))).drop("v", "w")
+    both = sized.join(texts.lines.toDF("b", "t"), "b").join(texts.lines.toDF("a", "s"), "a")
     shared = F.size(F.array_intersect(shingles(F.col("s")), shingles(F.col("t"))))
-    return sized.where(shared * (1 + SIMILARITY) >= SIMILARITY * (F.col("m") + F.col("n"))).select(*pairs.columns)
+    return both.where(shared * (1 + SIMILARITY) >= SIMILARITY * (m + n)).select(*pairs.columns)
 
 
 def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -121,7 +152,7 @@ def _met(rows: DataFrame, draws: int) -> DataFrame:
     return met.select(pick("id", "y").alias("a"), pick("y", "id").alias("b"), pick("component", "cy").alias("ca"), pick("cy", "component").alias("cb")).distinct()
 
 
-def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(rows: DataFrame, texts: Texts) -> DataFrame:
     """Pairs (a, b, ca, cb) across components, a > b, with all similar ones of each bucket of rows(key, id, component)."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     small = materialize(rows.join(sizes.where(F.col("n") <= SMALL).select("key").hint("merge"), "key"), "small")
@@ -131,15 +162,15 @@ def _rest(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.union(_by_prefix(large, texts)).distinct()
 
 
-def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _by_prefix(rows: DataFrame, texts: Texts) -> DataFrame:
     """Pairs (a, b, ca, cb) across components, a > b, with all that are similar among the lines of rows(id, component).
 
     A prefix filter: the shingles of a line are ordered by how many of these lines hold them. Those that no other line holds
     come first and need no join; so lines of a hot bucket that differ enough meet nobody. What is left of two lines from the
-    shingle on where they meet bounds what they share, within the join.
+    shingle on where they meet bounds what they share, and their sketches what they do not, both within the join.
     """
     spark = rows.sparkSession
-    open_ = texts.join(rows.hint("merge"), "id")
+    open_ = texts.lines.join(rows.hint("merge"), "id")
     held = materialize(open_.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")), "shingles")
     settle(spark)
     several = materialize(held.groupBy("h").agg(F.count("*").cast("int").alias("f")).where("f > 1"), "several")
@@ -150,15 +181,16 @@ def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
     settle(spark)
     each = Window.partitionBy("id")
     ranked = shared.select("*", F.row_number().over(each.orderBy("f", "h")).alias("r"), F.count("*").over(each).cast("int").alias("c"))
-    sized = open_.select("id", "component", "n").hint("merge")
+    sized = texts.sketches.join(rows.hint("merge"), "id").hint("merge")
     first = F.col("r") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
-    prefix = materialize(ranked.join(sized, "id").where(first).select("h", "id", "component", "n", "c", "r"), "prefix")
+    prefix = materialize(ranked.join(sized, "id").where(first).select("h", "id", "component", "n", "w", "c", "r"), "prefix")
     discard(shared)
     settle(spark)
-    x, y = prefix.toDF("h", "a", "ca", "m", "c", "r"), prefix.toDF("g", "b", "cb", "n", "d", "q")
+    x, y = prefix.toDF("h", "a", "ca", "m", "v", "c", "r"), prefix.toDF("g", "b", "cb", "n", "w", "d", "q")
     most = F.least("r", "q") + F.least(F.col("c") - F.col("r"), F.col("d") - F.col("q"))
     enough = most * (1 + SIMILARITY) >= SIMILARITY * (F.col("m") + F.col("n")) - 1e-9
-    return x.join(y.hint("merge"), (x["h"] == y["g"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"]) & enough).select("a", "b", "ca", "cb")
+    near = enough & _near(F.col("m"), F.col("v"), F.col("n"), F.col("w"))
+    return x.join(y.hint("merge"), (x["h"] == y["g"]) & (x["a"] > y["b"]) & (x["ca"] != y["cb"]) & near).select("a", "b", "ca", "cb")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -169,7 +201,7 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("above", "component").alias("component")).union(alone), "groups")
 
 
-def _grouped(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _grouped(members: DataFrame, texts: Texts) -> DataFrame:
     """(node, component) of the lines that have a link inside the buckets members(key, id)."""
     spark = members.sparkSession
     groups = spark.createDataFrame([], "node long, component long")
@@ -206,9 +238,11 @@ def classes(docs: DataFrame) -> DataFrame:
     members = materialize(keyed.join(several, "key"), "members")
     settle(spark)
     candidates = lines.select("id", "line").join(members.select("id").distinct(), "id", "left_semi")
-    texts = materialize(candidates.select("id", "line", F.size(F.array_distinct(shingles(F.col("line")))).alias("n")), "texts")
+    texts = materialize(candidates, "texts")
+    settle(spark)
+    sketches = materialize(_sketches(texts), "sketches")
     settle(spark)
-    groups = _grouped(members, texts)
+    groups = _grouped(members, Texts(texts, sketches))
     narrow = lines.select("id", "line_md5", "n", "first_doc_id")
     linked = materialize(narrow.join(groups.withColumnRenamed("node", "id"), "id"), "linked")
     order = F.struct(F.coalesce("first_doc_id", F.lit(2**63 - 1)).alias("d"), "line_md5")

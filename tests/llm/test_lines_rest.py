@@ -2,7 +2,7 @@
 
 import random
 
-from test_lines import brute, classes_of, sentence, together
+from test_lines import brute, classes_of, full, sentence, together
 
 from tessera.llm import lines
 
@@ -59,3 +59,16 @@ def test_lines_of_small_buckets_only_are_not_cut_into_shingles_again(spark, monk
     assert got <= want
     assert len(got) >= 0.99 * len(want) > 0
     assert [0 < len(x) <= 100 for x in cut] == [True]
+
+
+def test_the_prefix_join_makes_all_similar_pairs_and_few_others(spark):
+    for edits, most in ((2, 400), (3, 10)):
+        rng = random.Random(31)
+        hot = sentence(rng, 60)
+        texts = [edited(rng, hot, edits) for _ in range(60)]
+        lines_ = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+        rows = lines_.selectExpr("id", "id as component")
+        got = {(r["a"], r["b"]) for r in lines._by_prefix(rows, lines.Texts(lines_, lines._sketches(lines_))).distinct().collect()}
+        want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts[:i]) if 10 * len(full(x) & full(y)) >= 8 * len(full(x) | full(y))}
+        assert want <= got
+        assert len(got) <= most
