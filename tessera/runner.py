@@ -8,15 +8,19 @@ from itertools import islice
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 
 class Runner:
-    """Runs one DataFrame in its own job group: next() gives batches of rows, a partition at a time, so the driver never holds all."""
+    """Runs one DataFrame in its own job group: next() gives batches of rows, a partition at a time, so the driver never holds all.
+
+    wait() gives no rows: their batches are made and counted by the tasks, and the driver gets the counts.
+    """
 
     def __init__(self, df: DataFrame, batch: int = 10_000):
         self.df, self.batch, self.group = df, batch, f"runner-{uuid.uuid4().hex}"
         self.state, self.error, self.rows, self.began, self.ended = "initialized", None, 0, None, None
-        self._rows = None
+        self._rows = self._seen = None
 
     def _tagged(self, work):
         context = self.df.sparkSession.sparkContext
@@ -45,8 +49,39 @@ class Runner:
             return None
         return out
 
+    def _count(self) -> int:
+        """The number of rows, all columns of which are computed; a number a task goes to the driver."""
+        batch, seen = self.batch, self._seen
+
+        def counts(parts):
+            import pyarrow as pa
+
+            rows = 0
+            for part in parts:
+                for at in range(0, part.num_rows, batch):
+                    rows += (n := part.slice(at, batch).num_rows)
+                    seen.add(n)
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+        # Names may be equal, and there may be no column to carry the rows.
+        rows = self.df.toDF(*map(str, range(len(self.df.columns)))).select("*", F.lit(True))
+        return sum(r["rows"] for r in rows.mapInArrow(counts, "rows long").collect())
+
     def wait(self) -> int:
-        """Runs to the end and gives the number of rows."""
+        """Runs to the end and gives the number of rows.
+
+        If next() has begun, the rest comes to the driver as well: a second run need not give the same rows.
+        """
+        if self.state == "initialized":
+            self.state, self.began = "running", time.time()
+            self._seen = self.df.sparkSession.sparkContext.accumulator(0)  # as tasks end, for stats()
+            try:
+                self.rows = self._tagged(self._count)
+            except Exception:
+                self.rows = self._seen.value
+                raise
+            if self.state == "running":
+                self.state, self.ended = "finished", time.time()
         while self.next() is not None:
             pass
         return self.rows
@@ -65,11 +100,12 @@ class Runner:
 
     def abort(self) -> None:
         self.state, self.ended = "aborted", time.time()
-        self.df.sparkSession.sparkContext.cancelJobGroup(self.group)
+        self.df.sparkSession.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.group)  # wait() may be about to start its job
 
     def stats(self) -> dict:
         tracker = self.df.sparkSession.sparkContext.statusTracker()
         jobs = tracker.getJobIdsForGroup(self.group)
         stages = [s for j in jobs if (i := tracker.getJobInfo(j)) for s in i.stageIds]
         seconds = None if self.began is None else (self.ended or time.time()) - self.began
-        return {"state": self.state, "rows": self.rows, "jobs": len(jobs), "stages": len(stages), "seconds": seconds}
+        rows = max(self.rows, self._seen.value if self._seen else 0)
+        return {"state": self.state, "rows": rows, "jobs": len(jobs), "stages": len(stages), "seconds": seconds}
